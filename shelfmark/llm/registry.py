@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import hnsw, langid, vafile
 
-MODULES = [langid]
+MODULES = [hnsw, vafile, langid]
 
 
 def queries() -> dict:
