@@ -3,7 +3,7 @@
 Vectors of one label are dealt into shards of bounded size. A task holds one shard and one
 block of the label's vectors: it builds the shard's graph, layer by layer, and searches it
 for every vector of the block, so each vector queries every shard of its label. From the
-beam's links a flood over the bottom layer gathers the rest of a dense neighbourhood. A
+beam's links a flood over the bottom layer, along links and against them, gathers the rest of a dense neighbourhood. A
 sample of the queries is compared with a full scan of the shard, and the beam is doubled
 until the audit passes (at the shard's size the scan takes over, so it always does). Links
 are verified by cosine in double precision. Tasks return a count for each vector and a
@@ -46,6 +46,11 @@ class Graph:
         self.links = [np.full((n, links * (2 if l == 0 else 1)), -1, np.int32) for l, n in enumerate(self.sizes)]
         for layer in range(top, -1, -1):
             self._fill(layer, beam)
+        target = self.links[0].ravel()
+        source = np.repeat(np.arange(len(x)), self.links[0].shape[1])[target >= 0]
+        target = target[target >= 0]
+        self.into = source[np.argsort(target, kind="stable")]
+        self.into_at = np.searchsorted(np.sort(target), np.arange(len(x) + 1))
 
     def _fill(self, layer: int, beam: int) -> None:
         links, n, done = self.links[layer], self.sizes[layer], 0
@@ -175,7 +180,9 @@ class Graph:
         found, front = [hit], hit
         while len(front):
             near = self.links[0][front].ravel()
-            near = np.unique(near[near >= 0])
+            start, size = self.into_at[front], self.into_at[front + 1] - self.into_at[front]
+            back = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+            near = np.unique(np.concatenate([near[near >= 0], self.into[back]]))
             near = near[~seen[near]]
             seen[near] = True
             front = near[self.x[near] @ q >= least]
@@ -202,10 +209,18 @@ def linked(data: np.ndarray, queries: np.ndarray, threshold: float, beam: int =
         got = verified([found[i] for i in audit], q[audit])
         total = sum(map(len, truth))
         if sum(map(len, got)) >= RECALL * total or beam >= len(d):
-            return verified(found, q)
+            return both_ways(verified(found, q)) if data is queries else verified(found, q)
         beam *= 2
 
 
+def both_ways(found: list[np.ndarray]) -> list[np.ndarray]:
+    """A link found from one end belongs to both ends."""
+    a = np.repeat(np.arange(len(found)), [len(f) for f in found])
+    b = np.concatenate(found) if found else a
+    pairs = np.unique(np.concatenate([a * len(found) + b, b * len(found) + a]))
+    return np.split(pairs % max(1, len(found)), np.searchsorted(pairs // max(1, len(found)), np.arange(1, len(found))))
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per input row."""
     x = F.col("x")
@@ -225,11 +240,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     right = dealt.select(every.alias("s"), F.col("own").alias("b"), *(F.col(c).alias(c) for c in ("label", "dim", "rep", "n", "x")))
 
     def run(data: pa.Table, asked: pa.Table) -> pa.Table:
+        data, asked = data.sort_by("rep"), asked.sort_by("rep")
         ids, own, n = data.column("rep").to_numpy(), asked.column("rep").to_numpy(), data.column("n").to_numpy()
         if not len(ids) or not len(own):
             return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         mat = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        found = linked(mat(data), mat(asked), threshold)
+        x = mat(data)
+        found = linked(x, x if np.array_equal(ids, own) else mat(asked), threshold)
         links, root = np.zeros(len(own), np.int64), {int(i): int(i) for i in (*ids, *own)}
 
         def top(i: int) -> int:
