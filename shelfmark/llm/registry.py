@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hnsw, langid, vafile
+from . import hnsw, langid, toxicity, vafile
 
-MODULES = [hnsw, vafile, langid]
+MODULES = [hnsw, vafile, toxicity, langid]
 
 
 def queries() -> dict:
