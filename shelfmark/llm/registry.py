@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hnsw, langid, toxicity, vafile
+from . import hnsw, langid, pii, toxicity, vafile
 
-MODULES = [hnsw, vafile, toxicity, langid]
+MODULES = [hnsw, vafile, toxicity, langid, pii]
 
 
 def queries() -> dict:
