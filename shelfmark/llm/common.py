@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,6 +36,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def table(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared checkpoint folder and read back.
+
+    Like :func:`cut`, in a compact format for results of many rows.
+    """
+    sc = df.sparkSession.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            sc.setCheckpointDir(tempfile.mkdtemp("checkpoints"))
+        top = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{top}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(doc_id: str, n: int):
     """crc32 of the id as text, modulo ``n``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

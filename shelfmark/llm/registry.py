@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hnsw, langid, pii, toxicity, vafile
+from . import hnsw, langid, lm, pii, toxicity, vafile
 
-MODULES = [hnsw, vafile, toxicity, langid, pii]
+MODULES = [hnsw, vafile, toxicity, langid, pii, lm]
 
 
 def queries() -> dict:
