@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hnsw, langid, lm, pii, probminhash, toxicity, vafile
+from . import hnsw, langid, lm, mixing, pii, probminhash, toxicity, vafile
 
-MODULES = [hnsw, vafile, toxicity, probminhash, langid, pii, lm]
+MODULES = [hnsw, vafile, toxicity, probminhash, mixing, langid, pii, lm]
 
 
 def queries() -> dict:
