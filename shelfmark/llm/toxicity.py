@@ -202,16 +202,19 @@ def similar(words: list[str], marks: np.ndarray, marks_own: np.ndarray) -> np.nd
 
 def sample(docs: DataFrame, labels: DataFrame, where: Column | None, text: str, key: str, label: str) -> list[tuple[str, int]]:
     """At most about TOXIC_ROWS and CLEAN_ROWS labelled rows, by a hash of the id."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
-    rows = docs if where is None else docs.filter(where)
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(known, "k")
-    sizes = {r.y: (r.n, r.c) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("c")).collect()}
+    known = labels.filter(F.col(label).isNotNull() & (F.lit(True) if where is None else where))
+    known = known.groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not {0, 1} <= set(sizes):
         return []
-    share = {y: min(1.0, most / sizes[y][0]) for y, most in ((0, CLEAN_ROWS), (1, TOXIC_ROWS))}
-    scale = min(1.0, MOST_CHARS / max(1, sum(share[y] * sizes[y][1] for y in share)))
-    cut = F.when(F.col("y") == 1, int(share[1] * scale * 1_000_000) + 1).otherwise(int(share[0] * scale * 1_000_000) + 1)
-    picked = rows.filter(F.col("y").isin(0, 1) & (F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < cut))
+    place = F.pmod(F.xxhash64("k"), F.lit(1_000_000))
+    cuts = {y: int(min(1.0, most / sizes[y]) * 1_000_000) + 1 for y, most in ((0, CLEAN_ROWS), (1, TOXIC_ROWS))}
+    part = known.filter((F.col("y") == 1) & (place < cuts[1]) | (F.col("y") == 0) & (place < cuts[0]))
+    # about TOXIC_ROWS + CLEAN_ROWS ids, whatever the corpus
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(part), "k")
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    scale = min(1.0, MOST_CHARS / max(1, chars))
+    picked = rows.filter(F.pmod(F.xxhash64("k", F.lit("chars")), F.lit(1_000_000)) < int(scale * 1_000_000) + 1)
     return sorted((r.t, r.y) for r in picked.select("t", "y").collect())
 
 
