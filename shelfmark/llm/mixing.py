@@ -56,13 +56,15 @@ class Classifier:
 def learn(docs: DataFrame, labelled: DataFrame, domain: str, text: str = "text", key: str = "doc_id") -> Classifier | None:
     """Counts a classifier from a bounded sample of the rows whose key is in ``labelled``."""
     known = labelled.select(F.col(key).alias("_k")).distinct()
-    rows = docs.select(F.col(key).alias("_k"), F.col(domain).cast("string").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null").join(known, "_k", "left_semi")
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(domain).cast("string").alias("d")).filter("d is not null").join(known, "_k", "left_semi")
     sizes = {r.d: r.n for r in rows.groupBy("d").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     domains = sorted(sizes)
     share = F.create_map(*(F.lit(x) for d in domains for x in (d, int(min(1.0, PER_DOMAIN / sizes[d]) * 1_000_000) + 1)))
-    part = rows.filter(F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < share[F.col("d")])
+    ids = rows.filter(F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < share[F.col("d")]).select("_k").distinct()
+    # about PER_DOMAIN ids a domain, whatever the corpus
+    part = docs.select(F.col(key).alias("_k"), F.col(domain).cast("string").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null").join(F.broadcast(ids), "_k")
     each = part.select("d", F.explode(words(F.col("t"))).alias("w")).filter("w != ''").groupBy("w", "d").agg(F.count("*").alias("n"))
     wide = common.cut(each.groupBy("w").agg(*(F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains))))
     *sums, distinct = wide.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(domains))), F.count("*")).first()
