@@ -60,7 +60,10 @@ class Pieces:
     def __post_init__(self) -> None:
         self.texts = {i: p for p, i in self.ids.items()}
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
-        self.floor = min(self.scores.values(), default=0.0, key=lambda s: s if s > -1e8 else 0.0) - 10
+        lowest = min((s for s in self.scores.values() if s > -1e8), default=0.0)
+        # a model marks pieces that its own merges never make by scores beyond all others
+        self.scores = {p: max(s, lowest - 1) for p, s in self.scores.items()}
+        self.floor = lowest - 10
         pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(b == SPACE != a for a, b in pairs):
             raise ValueError("a piece holds the end of a word and the start of the next")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hnsw, langid, lm, mixing, pieces, pii, probminhash, toxicity, vafile
+from . import chat, hnsw, langid, lm, mixing, pieces, pii, probminhash, toxicity, vafile
 
-MODULES = [hnsw, vafile, toxicity, probminhash, mixing, langid, pieces, pii, lm]
+MODULES = [hnsw, vafile, toxicity, probminhash, mixing, langid, pieces, chat, pii, lm]
 
 
 def queries() -> dict:
