@@ -8,10 +8,12 @@ Texts that agree in a whole band are candidates; candidates are verified by thei
 probability Jaccard similarity.
 
 Equal texts are one class from the start, so a bucket holds different texts only. In a
-bucket, members meet a few centres (its first members under several hash orders) instead of
-each other. After components are formed, buckets that still span several components choose
-new centres and meet again, until a round joins nothing. Members of a hot centre are
-verified in blocks.
+bucket, members meet two centres instead of each other: the member whose buckets are the
+fullest (of many edits of one text, that text) and the first under a hash order. After
+components are formed, buckets that still span several components choose a new centre and
+meet again, leaving out pairs met before, until a round joins nothing. Members of a hot
+centre are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
+pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
 
 Defined cases: a null text or one without words is a class of its own; a text of one to
 four words has one shingle, all of it; every word of a very long text counts; rows with
@@ -25,14 +27,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .graph import components
 
-#: Words of a shingle, similarity of a link, registers, registers in a band, centres at once.
-WORDS, SIMILARITY, REGISTERS, BAND, CENTRES = 5, 0.8, 80, 4, 3
+#: Words of a shingle, similarity of a link, registers, registers in a band.
+WORDS, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
 #: Members of a centre that one task verifies.
 BLOCK = 256
 
@@ -117,12 +119,13 @@ def bands(texts: list[str | None]) -> list[np.ndarray | None]:
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Probability Jaccard similarity of two bags given as (sorted shingles, counts)."""
+    if len(a[0]) and len(b[0]) and a[1].max() == b[1].max() == 1:
+        n = len(np.intersect1d(a[0], b[0], assume_unique=True))
+        return n / (len(a[0]) + len(b[0]) - n)
     both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(both):
         return 0.0
     x, y = a[1][i].astype(float), b[1][j].astype(float)
-    if x.max() == x.min() == y.max() == y.min() == a[1].max() == b[1].max() == 1:
-        return len(both) / (len(a[0]) + len(b[0]) - len(both))
     only_a, only_b = a[1].sum() - x.sum(), b[1].sum() - y.sum()
     total, many = 0.0, np.unique(np.stack([x, y]), axis=1, return_counts=True)
     for (p, q), n in zip(many[0].T, many[1], strict=True):
@@ -150,7 +153,7 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
-    """rep, shingles, counts of the texts that are candidates."""
+    """rep, shingles, counts of the texts that are candidates; counts are null if all are 1."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -158,13 +161,18 @@ def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for start, part in common.blocks(texts):
                 doc, shingle, count = shingles(part)
-                order = np.lexsort((shingle.view(np.int64), doc))
-                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(doc, minlength=len(part)))], pa.int32())
-                made = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (shingle.view(np.int64)[order], count[order].astype(np.int32))]
+                small = (shingle >> _U(32)).astype(np.uint32).view(np.int32)
+                order = np.lexsort((small, doc))
+                sizes = np.bincount(doc, minlength=len(part))
+                offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+                plain = np.maximum.reduceat(np.r_[count, 0], offsets[:-1]) * (sizes > 0) <= 1
+                keep = np.repeat(~plain, sizes)
+                counted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(plain, 0, sizes))].astype(np.int32)), pa.array(count[order][keep].astype(np.int32)), mask=pa.array(plain))
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(small[order])), counted]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(part)], b.schema.field(0).type), *made], names=["rep", "s", "n"])
 
     rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).filter("t is not null").join(reps, "rep", "left_semi")
-    return rows.mapInArrow(run, f"rep {kind}, s array<long>, n array<int>").dropDuplicates(["rep"])
+    return rows.mapInArrow(run, f"rep {kind}, s array<int>, n array<int>").dropDuplicates(["rep"])
 
 
 def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
@@ -177,7 +185,10 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     centres = centres.select(*(F.col(x).alias(x) for x in centres.columns))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        bag_of = lambda t, i: tuple(np.asarray(t.column(k)[i].values) for k in ("s", "n"))
+        def bag_of(t: pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
+            held, counts = t.column("s")[i].values.to_numpy(), t.column("n")[i].values
+            return held, np.ones(len(held), np.int32) if counts is None else counts.to_numpy()
+
         hit = []
         if left.num_rows and right.num_rows:
             centre = bag_of(right, 0)
@@ -194,31 +205,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     reps = common.table(sigs.groupBy("h").agg(F.min("id").alias("rep")))
     own = sigs.join(reps.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").dropDuplicates(["id", "h"])
     buckets = own.select(F.col("id").alias("m"), F.explode("bands").alias("k"))
-    shared = buckets.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1").select("k")
+    shared = buckets.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = common.table(buckets.join(shared, "k"))
-    bag = common.table(bags(rows, buckets.select(F.col("m").alias("rep")).distinct(), text, key))
+    full = common.table(buckets.groupBy("m").agg(F.sum("size").alias("full")))
+    bag = common.table(bags(rows, full.select(F.col("m").alias("rep")), text, key))
 
-    def meet(members: DataFrame, orders: range) -> DataFrame:
-        """(c, m): members of a bucket with its first member under each order."""
-        first = [F.min_by("m", F.xxhash64(F.col("m"), F.lit(o))).alias(f"c{o}") for o in orders]
-        centres = members.groupBy("k").agg(*first)
-        met = members.join(centres, "k").select("m", F.explode(F.array(*(f"c{o}" for o in orders))).alias("c"))
+    def meet(members: DataFrame, *centre: Column) -> DataFrame:
+        """(c, m): members of a bucket with its centres."""
+        centres = members.groupBy("k").agg(*(c.alias(f"c{i}") for i, c in enumerate(centre)))
+        met = members.join(centres, "k").select("m", F.explode(F.array(*(f"c{i}" for i in range(len(centre))))).alias("c"))
         return met.filter("c != m").select("c", "m").distinct()
 
-    edges = common.table(verified(meet(buckets, range(CENTRES)), bag, least))
-    order = CENTRES
+    by_hash = lambda order: F.min_by("m", F.xxhash64("m", F.lit(order)))
+    ranked = buckets.join(full, "m").select("k", "m", "full")
+    tested = common.table(meet(ranked, F.max_by("m", F.struct("full", F.xxhash64("m"))), by_hash(0)))
+    groups = common.table(components(verified(tested, bag, least), "c", "m"))
+    order = 0
     while True:
-        groups = components(edges, "c", "m")
-        placed = buckets.join(groups, groups["node"] == buckets["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
+        order += 1
+        placed = buckets.select("k", "m").join(groups, groups["node"] == buckets["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
         several = placed.groupBy("k").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a != b").select("k")
-        apart = common.table(placed.join(several, "k"))
-        met = meet(apart.select("k", "m"), range(order, order + CENTRES))
-        group_of = apart.select(F.col("m").alias("x"), "g").distinct()
-        met = met.join(group_of.select(F.col("x").alias("c"), F.col("g").alias("gc")), "c").join(group_of.select(F.col("x").alias("m"), F.col("g").alias("gm")), "m")
-        more = common.table(verified(met.filter("gc != gm").select("c", "m"), bag, least))
+        apart = placed.join(several, "k")
+        # a member has one group, so a centre's group comes along with it
+        centres = apart.groupBy("k").agg(F.min_by(F.struct("m", "g"), F.xxhash64("m", F.lit(order))).alias("c"))
+        met = apart.join(centres, "k").filter("g != c.g").select("c.m", "m", "c.g", "g").toDF("c", "m", "gc", "gm").distinct()
+        met = common.table(met.join(tested, ["c", "m"], "left_anti"))
+        more = common.table(verified(met.select("c", "m"), bag, least))
         if more.isEmpty():
             break
-        edges, order = edges.unionByName(more), order + CENTRES
+        tested = tested.unionByName(met.select("c", "m"))
+        new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm").select(F.col("node").alias("g2"), F.col("component").alias("to")))
+        moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
+        single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
+        groups = common.table(moved.unionByName(single))
     groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")))
     known = sigs.select("id", "h").distinct().join(groups, "h").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "class_id")
     ids = sigs.select("id").distinct().count() == sigs.count()
