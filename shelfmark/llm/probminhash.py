@@ -163,12 +163,15 @@ def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
                 doc, shingle, count = shingles(part)
                 small = (shingle >> _U(32)).astype(np.uint32).view(np.int32)
                 order = np.lexsort((small, doc))
+                doc, small, count = doc[order], small[order], count[order]
+                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (small[1:] != small[:-1])][: len(doc)])
+                doc, small, count = doc[new], small[new], np.add.reduceat(count, new) if len(new) else count
                 sizes = np.bincount(doc, minlength=len(part))
                 offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
                 plain = np.maximum.reduceat(np.r_[count, 0], offsets[:-1]) * (sizes > 0) <= 1
                 keep = np.repeat(~plain, sizes)
-                counted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(plain, 0, sizes))].astype(np.int32)), pa.array(count[order][keep].astype(np.int32)), mask=pa.array(plain))
-                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(small[order])), counted]
+                counted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(plain, 0, sizes))].astype(np.int32)), pa.array(count[keep].astype(np.int32)), mask=pa.array(plain))
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(small)), counted]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(part)], b.schema.field(0).type), *made], names=["rep", "s", "n"])
 
     rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).filter("t is not null").join(reps, "rep", "left_semi")
