@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from . import common
 
 #: Path of the piece model; segmentations of a text; atoms a worker remembers.
-MODEL, N_BEST, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 3, 600_000
+MODEL, N_BEST, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 3, 1_200_000
 SPACE = "▁"
 #: Stands for a literal ▁ of the text; no valid text holds a lone surrogate.
 LITERAL = "\udc81"
@@ -87,6 +87,10 @@ class Pieces:
     def search(self, atom: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, piece ids) of an atom, best first."""
         size, get, reach = len(atom), self.table.get, self.reach.get
+        if size == 1:
+            one = get(atom)
+            edge = one[1] if one else self.spelled(atom)
+            return [(one[0] if one else self.floor * len(edge), edge)]
         best = [0.0] + [-np.inf] * size
         into: list[list] = [[] for _ in range(size + 1)]
         for i in range(size):
@@ -98,7 +102,8 @@ class Pieces:
             into[i + 1].append((i, one))
             if here + one[0] > best[i + 1]:
                 best[i + 1] = here + one[0]
-            for j in range(i + 2, min(size, i + reach(atom[i : i + 2], 1)) + 1):
+            far = i + reach(atom[i : i + 2], 1)
+            for j in range(i + 2, (far if far < size else size) + 1):
                 piece = get(atom[i:j])
                 if piece is not None:
                     into[j].append((i, piece))
@@ -195,7 +200,8 @@ class Memory:
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(b[1] for b in best), np.int32, int(size.sum()))])
         self.score = np.concatenate([self.score, [b[0] for b in best]])
-        good = [p.joined(b[1]) == (u.replace(LITERAL, SPACE) if LITERAL in u else u) for u, b in zip(new, best, strict=True)]
+        text = p.texts.get
+        good = ["".join([text(i, "") for i in b[1]]) == u or p.joined(b[1]) == u.replace(LITERAL, SPACE) for u, b in zip(new, best, strict=True)]
         self.good = np.concatenate([self.good, good]).astype(bool)
         gap, more = np.full((len(new), self.n - 1), np.inf), np.zeros((len(new), self.n - 1), np.int32)
         for i, r in enumerate(got):
@@ -223,7 +229,7 @@ def encode(texts: list[str | None], pieces: Pieces, n: int = N_BEST) -> list[pa.
     """Arrays for FIELDS."""
     m = _remembered(pieces, n)
     sizes, scores, best, good, parts = [], [], [], [], []
-    for _, part in common.blocks(texts):
+    for _, part in common.blocks(texts, 3_000_000):
         cut = [pieces.atoms(t) if t else [] for t in part]
         new = list(dict.fromkeys(u for us in cut for u in us if u not in m.place))
         if len(m.place) + len(new) > REMEMBERED and m.place:
