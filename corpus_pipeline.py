@@ -35,7 +35,7 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their fitted rates say."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id")
+    labels = common.read(spark, sf_dir, "labels").select("doc_id")
     return mixing.applied(docs, mixing.mix(docs, labels))
 
 

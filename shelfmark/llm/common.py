@@ -16,8 +16,14 @@ from pyspark.sql import types as T
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
+BATCH, DEFAULT_BATCH = "1000", "10000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The named table, with this library importable on the Python workers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), _ROOT]))
