@@ -158,20 +158,26 @@ class Graph:
             both = np.concatenate([links[part], cand[at : at + 512]], 1)
             links[part] = self._select(part, both, links.shape[1])
 
-    def near(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
-        """Places of rows with similarity of ``least`` or more found for each query."""
+    def near(self, q: np.ndarray, least: float, beam: int, own: bool = False) -> list[np.ndarray]:
+        """Places of rows with similarity of ``least`` or more found for each query.
+
+        With ``own``, the queries are the graph's rows: each flood starts at its row too.
+        """
         out, n = [], len(self.x)
         if beam >= n:
             for at in range(0, len(q), 256):
                 out += [np.flatnonzero(s >= least) for s in q[at : at + 256] @ self.x.T]
             return [self.order[o] for o in out]
+        place = np.argsort(self.order)
         step = max(16, min(512, 16_000_000 // n))
         for at in range(0, len(q), step):
             part = q[at : at + step]
             ids, sims = self._beam(part, self._enter(part, 0, n), 0, beam)
-            for v, i, s in zip(part, ids, sims, strict=True):
+            for j, (v, i, s) in enumerate(zip(part, ids, sims, strict=True), at):
                 hit = i[s >= least]
-                out.append(self._flood(v, hit, least) if len(hit) > 1 else hit)
+                if own:
+                    hit = np.union1d(hit, place[j])
+                out.append(self._flood(v, hit, least) if len(hit) > 1 - own else hit)
         return [self.order[o] for o in out]
 
     def _flood(self, q: np.ndarray, hit: np.ndarray, least: float) -> np.ndarray:
@@ -202,7 +208,7 @@ def linked(data: np.ndarray, queries: np.ndarray, threshold: float, beam: int =
         return [f[d[f] @ v >= threshold] if len(f) else f for f, v in zip(found, of, strict=True)]
 
     while True:
-        found = graph.near(small, threshold - SLACK, beam)
+        found = graph.near(small, threshold - SLACK, beam, data is queries)
         dense = np.argsort([-len(f) for f in found], kind="stable")[: AUDIT // 4]
         audit = np.unique(np.concatenate([pick, dense]))
         truth = verified([np.flatnonzero(d.astype(np.float32) @ small[i] >= threshold - SLACK) for i in audit], q[audit])

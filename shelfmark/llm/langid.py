@@ -28,6 +28,8 @@ from . import common
 BUCKETS, DIM = 1 << 15, 16
 #: Bounds of the labelled sample: rows a language, rows in all, characters in all.
 PER_LANG, MOST_ROWS, MOST_CHARS = 500, 4000, 12_000_000
+#: Gradient steps at least, however small the sample.
+UPDATES = 300
 #: Share of right calibration predictions whose probability may lie under the threshold.
 REJECT = 0.002
 
@@ -120,9 +122,11 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, seed: int = 7) -> Model |
     y = np.array([langs.index(l) for _, l in learn])
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, bias = np.zeros((DIM, len(langs)), np.float32), np.zeros(len(langs), np.float32)
+    batches = max(1, len(learn) // 32)
+    epochs = max(epochs, -(-UPDATES // batches))
     for epoch in range(epochs):
         rate = 4.0 * (1 - epoch / epochs)
-        for part in np.array_split(rng.permutation(len(learn)), max(1, len(learn) // 32)):
+        for part in np.array_split(rng.permutation(len(learn)), batches):
             uniq, inv = np.unique(np.concatenate([bags[i][0] for i in part]), return_inverse=True)
             if not len(uniq):
                 continue
