@@ -30,19 +30,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows of short columns that one file of a cut or table holds.
+FILE_ROWS = 500_000
+
+
+def gathered(df: DataFrame, rows: int | None) -> DataFrame:
+    """``df`` dealt to as many tasks as ``rows`` rows need, where their number is known.
+
+    A task for each few rows costs more than the rows: files, their checksums, commits.
+    """
+    return df if rows is None else df.repartition(max(1, -(-rows // FILE_ROWS)))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so its lineage ends here.
 
     The folder is the cluster's ``spark.checkpoint.dir``; a local one is made only where
-    that setting is missing, as in tests.
+    that setting is missing, as in tests. ``rows`` is a bound on the rows, if known.
     """
+    df = gathered(df, rows)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
     return df.checkpoint()
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back.
 
     Like :func:`cut`, in a compact format for results of many rows.
@@ -54,7 +67,7 @@ def table(df: DataFrame) -> DataFrame:
             sc.setCheckpointDir(tempfile.mkdtemp("checkpoints"))
         top = sc._jsc.sc().getCheckpointDir().get()
     path = f"{top}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    gathered(df, rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -236,7 +236,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
     usable = F.coalesce(good & F.col("label").isNotNull(), F.lit(False))
     rows = rows.withColumn("k", F.when(usable, F.sha2(F.to_json(F.struct("label", "x")), 256)).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
     reps = rows.filter(usable).groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("x").alias("x"))
-    reps = common.cut(reps.withColumn("dim", F.size("x")))
+    n = vectors.count()
+    reps = common.table(reps.withColumn("dim", F.size("x")), n * 8)
     sizes = reps.groupBy("label", "dim").count().filter(F.col("count") > shard)
     sizes = sizes.select("label", "dim", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
     dealt = reps.join(sizes, ["label", "dim"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
@@ -277,11 +278,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec
         })
 
     keys = ("label", "dim", "s", "b")
-    found = common.cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "node long, links long, root long"))
-    groups = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = common.cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "node long, links long, root long"), n)
+    groups = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")), rows=n)
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("k", "rep", "n").join(counts, counts["node"] == reps["rep"], "left").drop("node")
-    known = common.cut(known.join(groups, groups["node"] == F.col("rep"), "left").select("k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")))
+    known = common.cut(known.join(groups, groups["node"] == F.col("rep"), "left").select("k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), n)
     out = rows.select("id", "k").join(known, "k", "left")
     out = out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key) == F.col("component_id"))

@@ -66,7 +66,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domain: str, text: str = "text",
     # about PER_DOMAIN ids a domain, whatever the corpus
     part = docs.select(F.col(key).alias("_k"), F.col(domain).cast("string").alias("d"), F.col(text).alias("t")).filter("d is not null and t is not null").join(F.broadcast(ids), "_k")
     each = part.select("d", F.explode(words(F.col("t"))).alias("w")).filter("w != ''").groupBy("w", "d").agg(F.count("*").alias("n"))
-    wide = common.cut(each.groupBy("w").agg(*(F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains))))
+    wide = common.cut(each.groupBy("w").agg(*(F.sum(F.when(F.col("d") == d, F.col("n")).otherwise(0)).alias(f"n{i}") for i, d in enumerate(domains))), PER_DOMAIN * len(domains) * 100)
     *sums, distinct = wide.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(domains))), F.count("*")).first()
     if not distinct:
         return None
@@ -75,7 +75,7 @@ def learn(docs: DataFrame, labelled: DataFrame, domain: str, text: str = "text",
     weights = wide.withColumns({f"v{i}": logs[i] - mean for i in range(len(domains))})
     best = [weights.orderBy(F.desc(F.col(f"n{i}") * F.col(f"v{i}")), "w").limit(VOCABULARY) for i in range(len(domains))]
     vocabulary = reduce(DataFrame.unionByName, best).select("w", *(f"v{i}" for i in range(len(domains)))).distinct()
-    return Classifier(domains, [math.log(sizes[d] / sum(sizes.values())) for d in domains], common.cut(vocabulary))
+    return Classifier(domains, [math.log(sizes[d] / sum(sizes.values())) for d in domains], common.cut(vocabulary, VOCABULARY * len(domains)))
 
 
 def posteriors(docs: DataFrame, model: Classifier, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -132,7 +132,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     if model is None:
         rows = docs.groupBy(F.col(key).alias("key"), F.xxhash64(text).alias("h")).agg(F.count("*").alias("copies"), F.max(tokens(text)).alias("n_tokens"))
         return rows.withColumns({"p": F.array().cast("array<double>"), "rate": F.lit(1.0)})
-    rows = common.cut(posteriors(docs, model, text, key))
+    rows = common.cut(posteriors(docs, model, text, key), docs.count())
     return rows.withColumn("rate", rates(rows, model, targets or dict.fromkeys(model.domains, 1.0)))
 
 
@@ -140,7 +140,7 @@ def applied(docs: DataFrame, mixed: DataFrame, text: str = "text", key: str = "d
     """Each row of ``docs`` as often as its rate says: the whole part, and the rest by a hash of the id."""
     u = F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(1_000_000)) / 1_000_000.0
     times = (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    kept = common.cut(mixed.select(F.col("key").alias("_key"), F.col("h").alias("_h"), times.alias("_times")).filter("_times > 0"))
+    kept = common.cut(mixed.select(F.col("key").alias("_key"), F.col("h").alias("_h"), times.alias("_times")).filter("_times > 0"), docs.count())
     rows = docs.withColumn("_x", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_x") == F.col("_h")))
     return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 

@@ -10,9 +10,10 @@ probability Jaccard similarity.
 Equal texts are one class from the start, so a bucket holds different texts only. In a
 bucket, members meet two centres instead of each other: the member whose buckets are the
 fullest (of many edits of one text, that text) and the first under a hash order. After
-components are formed, buckets that still span several components choose a new centre and
-meet again, leaving out pairs met before, until a round joins nothing. Members of a hot
-centre are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
+components are formed, buckets that still span several components choose new centres, one
+of their largest component and one of the rest, for the members outside the largest to
+meet, leaving out pairs met before, until a round joins nothing. Members of a hot centre
+are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
 pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
 
 Defined cases: a null text or one without words is a class of its own; a text of one to
@@ -105,7 +106,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int)
 def bands(texts: list[str | None]) -> list[np.ndarray | None]:
     """One hash for each band of each text's signature; None without words."""
     out: list[np.ndarray | None] = []
-    for _, part in common.blocks(texts):
+    for _, part in common.blocks(texts, 500_000):
         doc, shingle, count = shingles(part)
         winner = signatures(doc, shingle, count, len(part)).reshape(len(part), -1, BAND)
         h = np.zeros(winner.shape[:2], _U)
@@ -159,7 +160,7 @@ def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for start, part in common.blocks(texts):
+            for start, part in common.blocks(texts, 500_000):
                 doc, shingle, count = shingles(part)
                 small = (shingle >> _U(32)).astype(np.uint32).view(np.int32)
                 order = np.lexsort((small, doc))
@@ -205,13 +206,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
     """key, class_id, kept: one row per row of ``docs``."""
     rows = docs.select(key, text)
     sigs = common.table(signed(rows, text, key))
-    reps = common.table(sigs.groupBy("h").agg(F.min("id").alias("rep")))
+    n = sigs.count()
+    reps = common.table(sigs.groupBy("h").agg(F.min("id").alias("rep")), n)
     own = sigs.join(reps.select("h", F.col("rep").alias("id")), ["h", "id"], "left_semi").dropDuplicates(["id", "h"])
     buckets = own.select(F.col("id").alias("m"), F.explode("bands").alias("k"))
     shared = buckets.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = common.table(buckets.join(shared, "k"))
-    full = common.table(buckets.groupBy("m").agg(F.sum("size").alias("full")))
-    bag = common.table(bags(rows, full.select(F.col("m").alias("rep")), text, key))
+    buckets = common.table(buckets.join(shared, "k"), n * 4)
+    full = common.table(buckets.groupBy("m").agg(F.sum("size").alias("full")), n)
+    bag = common.table(bags(rows, full.select(F.col("m").alias("rep")), text, key), n * 16)
 
     def meet(members: DataFrame, *centre: Column) -> DataFrame:
         """(c, m): members of a bucket with its centres."""
@@ -221,27 +223,33 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
 
     by_hash = lambda order: F.min_by("m", F.xxhash64("m", F.lit(order)))
     ranked = buckets.join(full, "m").select("k", "m", "full")
-    tested = common.table(meet(ranked, F.max_by("m", F.struct("full", F.xxhash64("m"))), by_hash(0)))
-    groups = common.table(components(verified(tested, bag, least), "c", "m"))
+    tested = common.table(meet(ranked, F.max_by("m", F.struct("full", F.xxhash64("m"))), by_hash(0)), n)
+    groups = common.table(components(verified(tested, bag, least), "c", "m", n), n)
+    apart = buckets.filter("size > 2").select("k", "m")  # in a bucket of two every pair has met
     order = 0
     while True:
         order += 1
-        placed = buckets.select("k", "m").join(groups, groups["node"] == buckets["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
+        placed = apart.join(groups, groups["node"] == apart["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
         several = placed.groupBy("k").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a != b").select("k")
-        apart = placed.join(several, "k")
-        # a member has one group, so a centre's group comes along with it
-        centres = apart.groupBy("k").agg(F.min_by(F.struct("m", "g"), F.xxhash64("m", F.lit(order))).alias("c"))
-        met = apart.join(centres, "k").filter("g != c.g").select("c.m", "m", "c.g", "g").toDF("c", "m", "gc", "gm").distinct()
-        met = common.table(met.join(tested, ["c", "m"], "left_anti"))
-        more = common.table(verified(met.select("c", "m"), bag, least))
+        placed = common.table(placed.join(several, "k"), n)
+        apart = placed.select("k", "m")
+        # the largest group of a bucket stays out: the others meet one of it, and one of theirs
+        each = placed.groupBy("k", "g").agg(F.count("*").alias("size"), F.min_by("m", F.xxhash64("m", F.lit(order))).alias("c"))
+        most = each.groupBy("k").agg(F.max_by(F.struct("g", "c"), F.struct("size", "g")).alias("big"))
+        left = common.table(placed.join(most, "k").filter("g != big.g"), n)
+        other = left.groupBy("k").agg(F.min_by(F.struct("g", F.col("m").alias("c")), F.xxhash64("m", F.lit(-order))).alias("other"))
+        met = left.select("big.c", "m", F.col("big.g").alias("gc"), F.col("g").alias("gm"))
+        met = met.unionByName(left.join(other, "k").filter("g != other.g").select("other.c", "m", F.col("other.g").alias("gc"), F.col("g").alias("gm")))
+        met = common.table(met.distinct().join(tested, ["c", "m"], "left_anti"), n)
+        more = common.table(verified(met.select("c", "m"), bag, least), n)
         if more.isEmpty():
             break
         tested = tested.unionByName(met.select("c", "m"))
-        new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm").select(F.col("node").alias("g2"), F.col("component").alias("to")))
+        new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm", n).select(F.col("node").alias("g2"), F.col("component").alias("to")), n)
         moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
         single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
-        groups = common.table(moved.unionByName(single))
-    groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")))
+        groups = common.table(moved.unionByName(single), n)
+    groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")), n)
     known = sigs.select("id", "h").distinct().join(groups, "h").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "class_id")
     ids = sigs.select("id").distinct().count() == sigs.count()
     out = rows.select(key) if ids else rows.select(key, _digest(text).alias("_d"))
@@ -266,7 +274,7 @@ def _digest(text: str):
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class."""
     found = near_duplicates(docs, text, key, least)
-    gone = common.table(found.filter("not kept").select(key).distinct())
+    gone = common.table(found.filter("not kept").select(key).distinct(), docs.count())
     kept = docs.join(gone, key, "left_anti")
     repeated = docs.groupBy(key).count().filter("count > 1")
     if not repeated.isEmpty():
