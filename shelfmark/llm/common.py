@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -123,6 +125,36 @@ def codes(texts: list[str], pad: str = "\n") -> tuple[np.ndarray, np.ndarray]:
     return points, np.concatenate([np.zeros(1, np.int32), owner])
 
 
+class Idle:
+    """Forgets what a worker remembers once it has not been in use for a while.
+
+    Workers outlive a stage; what they hold for one operator would take memory from the
+    next. Used as a context around each use of the memory.
+    """
+
+    def __init__(self, forget: Callable[[], None], seconds: float = 2.0) -> None:
+        self.forget, self.seconds, self.lock, self.last, self.watch = forget, seconds, threading.Lock(), 0.0, None
+
+    def __enter__(self) -> None:
+        self.lock.acquire()
+
+    def __exit__(self, *error) -> None:
+        self.last = time.monotonic()
+        if self.watch is None:
+            self.watch = threading.Thread(target=self._watch, daemon=True)
+            self.watch.start()
+        self.lock.release()
+
+    def _watch(self) -> None:
+        while True:
+            time.sleep(self.seconds / 4)
+            with self.lock:
+                if time.monotonic() - self.last >= self.seconds:
+                    self.forget()
+                    self.watch = None
+                    return
+
+
 _FOLD: np.ndarray | None = None
 
 

@@ -215,6 +215,7 @@ class Memory:
 
 
 _MEMORY: dict[tuple[str, int], Memory] = {}
+_IN_USE = common.Idle(_MEMORY.clear)
 
 
 def _remembered(pieces: Pieces, n: int) -> Memory:
@@ -227,7 +228,11 @@ def _remembered(pieces: Pieces, n: int) -> Memory:
 
 def encode(texts: list[str | None], pieces: Pieces, n: int = N_BEST) -> list[pa.Array]:
     """Arrays for FIELDS."""
-    m = _remembered(pieces, n)
+    with _IN_USE:
+        return _encode(texts, pieces, n, _remembered(pieces, n))
+
+
+def _encode(texts: list[str | None], pieces: Pieces, n: int, m: Memory) -> list[pa.Array]:
     sizes, scores, best, good, parts = [], [], [], [], []
     for _, part in common.blocks(texts, 3_000_000):
         cut = [pieces.atoms(t) if t else [] for t in part]

@@ -148,7 +148,10 @@ class Model:
 
     def tops(self, texts: list[str | None]) -> np.ndarray:
         """The highest margin in each text."""
-        held = _remembered(self.name)
+        with _IN_USE:
+            return self._tops(texts, _remembered(self.name))
+
+    def _tops(self, texts: list[str | None], held: dict[str, float]) -> np.ndarray:
         out = np.full(len(texts), NO_WORD)
         for start, part in common.blocks(texts, 2_000_000):
             split = [tokens(t) for t in part]
@@ -177,6 +180,7 @@ class Model:
 
 
 _MARGINS: dict[str, dict[str, float]] = {}
+_IN_USE = common.Idle(_MARGINS.clear)
 
 
 def _remembered(model: str) -> dict[str, float]:
