@@ -252,10 +252,18 @@ def test_language_model(spark):
 
 
 def test_language_model_is_a_distribution(spark):
-    words = [b"aa", b"ab", b"b"]
-    key, size = lm.keys(words * 5)
-    s = lm.spelling(*np.unique(key, return_counts=True), seed=1)
+    words = [b"aa", b"abab", b"b"] * 5
+    key, n = lm.visited(words, np.ones(len(words), int))
+    kept = np.unique(key[n > 2])
+    contexts = lm.Contexts([np.zeros(1, int), np.arange(lm.SYMBOLS), *(kept[kept % 8 == m] // 8 for m in range(2, lm.ORDER + 1))])
+    row, sym, _ = contexts.locate(words)
+    s = lm.spelling(contexts, *np.unique(row * lm.SYMBOLS + sym, return_counts=True), seed=1)
     assert np.allclose(np.exp(s.logs).sum(1), 1, atol=1e-4)
+    chances = dict(zip([b"aa", b"abab", b"q"], np.exp(s.score([b"aa", b"abab", b"q"])), strict=True))
+    assert chances[b"abab"] > 0.1 and chances[b"q"] < 0.01
+    name = lambda text: sum((256 if c == "^" else ord(c)) * lm.SYMBOLS**i for i, c in enumerate(reversed(text)))
+    deepest = contexts.first[5] + np.searchsorted(contexts.numbers[5], name("^abab"))
+    assert row[lm.symbols(words)[2][0] + 4] == deepest  # the end of "abab"
     seen = lm.seat(np.array([0, 1, 5, 100_000]), np.array([1.0, 1.0, 1.0, 1e3]), 0.5, np.random.default_rng(0))
     assert seen[0] == 0 and seen[1] == 1 and 1 <= seen[2] <= 5 and 1 < seen[3] < 100_000
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "zz " * 3), (4, "zz " * 3), (5, "q" * 30_000)], "doc_id long, text string")
