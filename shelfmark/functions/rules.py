@@ -19,7 +19,7 @@ def first_match(text: Column, rules: Rules, default: Column | str | None = None)
 def cascade(*stages: tuple[Column, Rules], default: Column | str) -> Column:
     """First match over several texts, each with its own rules, in order."""
     last = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(*(first_match(t, r) for t, r in stages), last)
+    return F.coalesce(*(first_match(t, r) for t, r in stages if r), last)
 
 
 def all_matches(text: Column, rules: Rules) -> Column:
