@@ -10,8 +10,8 @@ probability Jaccard similarity.
 Equal texts are one class from the start, so a bucket holds different texts only. In a
 bucket, members meet two centres instead of each other: the member whose buckets are the
 fullest (of many edits of one text, that text) and the first under a hash order. After
-components are formed, buckets that still span several components choose new centres, one
-of their largest component and one of the rest, for the members outside the largest to
+components are formed, buckets that still span several components choose new centres, some
+of their largest component and some of the rest, for the members outside the largest to
 meet, leaving out pairs met before, until a round joins nothing. Members of a hot centre
 are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
 pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
@@ -36,6 +36,8 @@ from .graph import components
 
 #: Words of a shingle, similarity of a link, registers, registers in a band.
 WORDS, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
+#: Centres of a bucket's largest component in a later round.
+CENTRES = 4
 #: Members of a centre that one task verifies.
 BLOCK = 256
 
@@ -233,13 +235,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         several = placed.groupBy("k").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a != b").select("k")
         placed = common.table(placed.join(several, "k"), n)
         apart = placed.select("k", "m")
-        # the largest group of a bucket stays out: the others meet one of it, and one of theirs
-        each = placed.groupBy("k", "g").agg(F.count("*").alias("size"), F.min_by("m", F.xxhash64("m", F.lit(order))).alias("c"))
+        # the largest group of a bucket stays out: the others meet some of it, and some of theirs
+        first = lambda many, sign: F.array(*(F.min_by("m", F.xxhash64("m", F.lit(sign * (order * CENTRES + i)))) for i in range(many)))
+        each = placed.groupBy("k", "g").agg(F.count("*").alias("size"), first(CENTRES, 1).alias("c"))
         most = each.groupBy("k").agg(F.max_by(F.struct("g", "c"), F.struct("size", "g")).alias("big"))
         left = common.table(placed.join(most, "k").filter("g != big.g"), n)
-        other = left.groupBy("k").agg(F.min_by(F.struct("g", F.col("m").alias("c")), F.xxhash64("m", F.lit(-order))).alias("other"))
-        met = left.select("big.c", "m", F.col("big.g").alias("gc"), F.col("g").alias("gm"))
-        met = met.unionByName(left.join(other, "k").filter("g != other.g").select("other.c", "m", F.col("other.g").alias("gc"), F.col("g").alias("gm")))
+        pair = lambda rows, c: rows.select(F.explode(F.array_distinct(c)).alias("c"), "m", "g")
+        group_of = left.select(F.col("m").alias("c"), F.col("g").alias("gc")).distinct()
+        met = left.select(F.explode(F.array_distinct("big.c")).alias("c"), "m", F.col("big.g").alias("gc"), F.col("g").alias("gm"))
+        other = left.groupBy("k").agg(first(2, -1).alias("other"))
+        theirs = pair(left.join(other, "k"), F.col("other")).distinct().join(group_of, "c").filter("g != gc")
+        met = met.unionByName(theirs.select("c", "m", "gc", F.col("g").alias("gm")))
         met = common.table(met.distinct().join(tested, ["c", "m"], "left_anti"), n)
         more = common.table(verified(met.select("c", "m"), bag, least), n)
         if more.isEmpty():
