@@ -206,6 +206,11 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """key, class_id, kept: one row per row of ``docs``."""
+    return _classes(docs, text, key, least)[0].drop("_d")
+
+
+def _classes(docs: DataFrame, text: str, key: str, least: float) -> tuple[DataFrame, bool]:
+    """The rows of :func:`near_duplicates`, and whether ids repeat; then with the text's digest ``_d``."""
     rows = docs.select(key, text)
     sigs = common.table(signed(rows, text, key))
     n = sigs.count()
@@ -257,14 +262,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", le
         groups = common.table(moved.unionByName(single), n)
     groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")), n)
     known = sigs.select("id", "h").distinct().join(groups, "h").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "class_id")
-    ids = sigs.select("id").distinct().count() == sigs.count()
-    out = rows.select(key) if ids else rows.select(key, _digest(text).alias("_d"))
-    if ids:
-        out = out.join(known, F.col(key) == F.col("_id"), "left")
-    else:
-        out = out.join(known, (F.col(key) == F.col("_id")) & (F.col("_d") == F.col("_h")), "left")
-    out = out.select(key, F.coalesce("class_id", key).alias("class_id"))
-    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True)))
+    repeat = sigs.select("id").distinct().count() < n
+    out = rows.select(key, _digest(text).alias("_d")) if repeat else rows.select(key)
+    same = F.col(key) == F.col("_id")
+    out = out.join(known, same & (F.col("_d") == F.col("_h")) if repeat else same, "left")
+    out = out.select(*([key, "_d"] if repeat else [key]), F.coalesce("class_id", key).alias("class_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("class_id"), F.lit(True))), repeat
 
 
 def _digest(text: str):
@@ -279,13 +282,12 @@ def _digest(text: str):
 
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class."""
-    found = near_duplicates(docs, text, key, least)
-    gone = common.table(found.filter("not kept").select(key).distinct(), docs.count())
-    kept = docs.join(gone, key, "left_anti")
-    repeated = docs.groupBy(key).count().filter("count > 1")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates([key])
-    return kept
+    found, repeat = _classes(docs, text, key, least)
+    if not repeat:
+        return docs.join(common.table(found.filter("not kept").select(key), docs.count()), key, "left_anti")
+    gone = common.table(found.filter("not kept").select(F.col(key).alias("_k"), F.col("_d").alias("_g")).distinct(), docs.count())
+    kept = docs.withColumn("_d", _digest(text)).join(gone, (F.col(key) == F.col("_k")) & (F.col("_d") == F.col("_g")), "left_anti")
+    return kept.dropDuplicates([key, "_d"]).drop("_d")
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -89,6 +89,8 @@ def test_repeated_rows_and_nulls(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(((r.doc_id, r.class_id, r.kept) for r in probminhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 3, True), (None, None, True), (3, 3, True), (2, 2, True)], key=str)
+    one = sorted(((r.doc_id, r.text) for r in probminhash.deduplicated(df).collect()), key=str)
+    assert one == sorted([(1, text), (3, None), (None, text), (3, ""), (2, rows[-1][1])], key=str)
     assert probminhash.near_duplicates(df.limit(0)).count() == 0
 
 
