@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
 A public piece model is read on the driver and its pieces travel with the tasks. A text
-becomes the piece lattice of ``▁`` and its words. The forward Viterbi scores of the lattice
-are the exact cost to go of a backward A* search, which so pops the segmentations in order
-of their scores and expands no node that isn't on one of them. Where no piece of the model
-reaches over a border (before a ``▁`` and, if the model keeps letters apart from other
-characters, between the two), the lattice falls into atoms that are searched once and
-remembered, and the N best of a text are the N best sums over its atoms. Characters that
-are no piece are spelled in byte pieces.
+becomes the piece lattice of a space and the text; the model writes ``▁`` for a space. The
+forward Viterbi scores of the lattice are the exact cost to go of a backward A* search,
+which so pops the segmentations in order of their scores and expands no node that isn't on
+one of them. Where no piece of the model reaches over a border (before a space and, if the
+model keeps letters apart from other characters, between the two), the lattice falls into
+atoms that are searched once and remembered, and the N best of a text are the N best sums
+over its atoms. Characters that are no piece are spelled in byte pieces.
 
 Defined cases: null and empty texts have no pieces and score 0; every text decodes to
 itself, white space and literal ``▁`` included; long words and texts are segmented whole;
@@ -31,10 +31,9 @@ from pyspark.sql import types as T
 from . import common
 
 #: Path of the piece model; segmentations of a text; atoms a worker remembers.
-MODEL, N_BEST, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 3, 1_200_000
-SPACE = "▁"
-#: Stands for a literal ▁ of the text; no valid text holds a lone surrogate.
-LITERAL = "\udc81"
+MODEL, N_BEST, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 3, 1_000_000
+#: The model's mark for a space. In a text it is a character like others, and no piece.
+MARK = "▁"
 
 FIELDS = [
     T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("n_pieces", T.IntegerType()), T.StructField("score", T.DoubleType()),
@@ -45,12 +44,12 @@ FIELDS = [
 _L = r"[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be\u2070-\u209f\u2150-\u218f\u2460-\u24ff]"
 _LETTER = re.compile(_L)
 #: Atoms where the model keeps letters apart from other characters, and where it doesn't.
-_FINE, _COARSE = re.compile(f"▁*(?:{_L}+|(?:(?!{_L})[^▁])+)|▁+"), re.compile(r"▁*[^▁]+|▁+")
+_FINE, _COARSE = re.compile(f" *(?:{_L}+|(?:(?!{_L})[^ ])+)| +"), re.compile(r" *[^ ]+| +")
 
 
 @dataclass
 class Pieces:
-    """The pieces of a model with ids and scores, and what the search needs of them."""
+    """The pieces of a model, spaces as such, with ids and scores, and what the search needs."""
 
     ids: dict[str, int]
     scores: dict[str, float]
@@ -65,9 +64,9 @@ class Pieces:
         self.scores = {p: max(s, lowest - 1) for p, s in self.scores.items()}
         self.floor = lowest - 10
         pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        if any(b == SPACE != a for a, b in pairs):
+        if any(b == " " != a for a, b in pairs):
             raise ValueError("a piece holds the end of a word and the start of the next")
-        mixed = any(SPACE not in x and bool(_LETTER.match(x[0])) != bool(_LETTER.match(x[1])) for x in pairs)
+        mixed = any(" " not in x and bool(_LETTER.match(x[0])) != bool(_LETTER.match(x[1])) for x in pairs)
         self.atom = _COARSE if mixed else _FINE
         self.table = {p: (self.scores[p], (i,)) for p, i in self.ids.items()}
         self.reach: dict[str, int] = {}
@@ -76,13 +75,11 @@ class Pieces:
                 self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
 
     def atoms(self, text: str) -> list[str]:
-        """The atoms of a text's lattice, spaces as ``▁``."""
-        if SPACE in text:
-            text = text.replace(SPACE, LITERAL)
-        return self.atom.findall(SPACE + text.replace(" ", SPACE))
+        """The atoms of a text's lattice."""
+        return self.atom.findall(" " + text)
 
     def spelled(self, ch: str) -> tuple[int, ...]:
-        return tuple(self.bytes[b] for b in (SPACE if ch == LITERAL else ch).encode("utf-8", "surrogatepass"))
+        return tuple(self.bytes[b] for b in ch.encode("utf-8", "surrogatepass"))
 
     def search(self, atom: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, piece ids) of an atom, best first."""
@@ -125,7 +122,7 @@ class Pieces:
         return found
 
     def joined(self, ids) -> str:
-        """The text of the pieces, ``▁`` as it is."""
+        """The text of the pieces, with the space before it."""
         parts, held = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -138,19 +135,8 @@ class Pieces:
         return "".join([*parts, held.decode("utf-8", "surrogatepass")])
 
     def decode(self, ids: list[int]) -> str:
-        """The text whose encoding ``ids`` is. Literal ``▁`` are byte pieces, spaces are not."""
-        marked = self.joined_marked(ids)
-        return marked[1:] if marked[:1] == " " else marked
-
-    def joined_marked(self, ids) -> str:
-        parts, held = [], bytearray()
-        for i in ids:
-            if (b := self.byte_of.get(i)) is not None:
-                held.append(b)
-                continue
-            parts += [held.decode("utf-8", "surrogatepass"), self.texts[i].replace(SPACE, " ")]
-            held = bytearray()
-        return "".join([*parts, held.decode("utf-8", "surrogatepass")])
+        """The text whose encoding ``ids`` is."""
+        return self.joined(ids)[1:]
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -159,7 +145,7 @@ def load(path: str = MODEL) -> Pieces:
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     normal = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
-    pieces = {m.id_to_piece(i): i for i in normal}
+    pieces = {m.id_to_piece(i).replace(MARK, " "): i for i in normal}
     spelled = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     if not all(map(m.is_byte, spelled)):
         raise ValueError(f"{path} has no byte pieces")
@@ -201,7 +187,7 @@ class Memory:
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(b[1] for b in best), np.int32, int(size.sum()))])
         self.score = np.concatenate([self.score, [b[0] for b in best]])
         text = p.texts.get
-        good = ["".join([text(i, "") for i in b[1]]) == u or p.joined(b[1]) == u.replace(LITERAL, SPACE) for u, b in zip(new, best, strict=True)]
+        good = ["".join([text(i, "") for i in b[1]]) == u or p.joined(b[1]) == u for u, b in zip(new, best, strict=True)]
         self.good = np.concatenate([self.good, good]).astype(bool)
         gap, more = np.full((len(new), self.n - 1), np.inf), np.zeros((len(new), self.n - 1), np.int32)
         for i, r in enumerate(got):

@@ -184,7 +184,7 @@ def test_n_best_by_enumeration(vocabulary):
 
     for text in ("the cat", "ción", "a.b", " x", "日本"):
         best = [x["score"] for x in pieces.encode([text], p, 4)[3][0].as_py()]
-        assert np.allclose(best, slow("▁" + text.replace(" ", "▁"))[: len(best)])
+        assert np.allclose(best, slow(" " + text)[: len(best)])
 
 
 def test_round_trips(vocabulary, spark):
