@@ -12,7 +12,7 @@ bucket, members meet two centres instead of each other: the member whose buckets
 fullest (of many edits of one text, that text) and the first under a hash order. After
 components are formed, buckets that still span several components choose new centres, some
 of their largest component and some of the rest, for the members outside the largest to
-meet, leaving out pairs met before, until a round joins nothing. Members of a hot centre
+meet, leaving out pairs met before and pairs of one component, until a round joins nothing. Members of a hot centre
 are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
 pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
 
@@ -36,8 +36,8 @@ from .graph import components
 
 #: Words of a shingle, similarity of a link, registers, registers in a band.
 WORDS, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
-#: Centres of a bucket's largest component in a later round.
-CENTRES = 4
+#: Centres of a bucket's largest component in a later round; rounds before buckets are looked at anew.
+CENTRES, ROUNDS = 2, 8
 #: Members of a centre that one task verifies.
 BLOCK = 256
 
@@ -233,33 +233,37 @@ def _classes(docs: DataFrame, text: str, key: str, least: float) -> tuple[DataFr
     tested = common.table(meet(ranked, F.max_by("m", F.struct("full", F.xxhash64("m"))), by_hash(0)), n)
     groups = common.table(components(verified(tested, bag, least), "c", "m", n), n)
     apart = buckets.filter("size > 2").select("k", "m")  # in a bucket of two every pair has met
-    order = 0
-    while True:
-        order += 1
+    order, joined = 0, True
+    while joined:
         placed = apart.join(groups, groups["node"] == apart["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
         several = placed.groupBy("k").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a != b").select("k")
         placed = common.table(placed.join(several, "k"), n)
         apart = placed.select("k", "m")
         # the largest group of a bucket stays out: the others meet some of it, and some of theirs
-        first = lambda many, sign: F.array(*(F.min_by("m", F.xxhash64("m", F.lit(sign * (order * CENTRES + i)))) for i in range(many)))
-        each = placed.groupBy("k", "g").agg(F.count("*").alias("size"), first(CENTRES, 1).alias("c"))
+        first = lambda many, sign: F.array(*(F.min_by("m", F.xxhash64("m", F.lit(sign * (order + i)))) for i in range(1, many + 1)))  # noqa: B023, E731
+        each = placed.groupBy("k", "g").agg(F.count("*").alias("size"), first(CENTRES * ROUNDS, 1).alias("c"))
         most = each.groupBy("k").agg(F.max_by(F.struct("g", "c"), F.struct("size", "g")).alias("big"))
-        left = common.table(placed.join(most, "k").filter("g != big.g"), n)
-        pair = lambda rows, c: rows.select(F.explode(F.array_distinct(c)).alias("c"), "m", "g")
-        group_of = left.select(F.col("m").alias("c"), F.col("g").alias("gc")).distinct()
-        met = left.select(F.explode(F.array_distinct("big.c")).alias("c"), "m", F.col("big.g").alias("gc"), F.col("g").alias("gm"))
-        other = left.groupBy("k").agg(first(2, -1).alias("other"))
-        theirs = pair(left.join(other, "k"), F.col("other")).distinct().join(group_of, "c").filter("g != gc")
-        met = met.unionByName(theirs.select("c", "m", "gc", F.col("g").alias("gm")))
-        met = common.table(met.distinct().join(tested, ["c", "m"], "left_anti"), n)
-        more = common.table(verified(met.select("c", "m"), bag, least), n)
-        if more.isEmpty():
-            break
-        tested = tested.unionByName(met.select("c", "m"))
-        new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm", n).select(F.col("node").alias("g2"), F.col("component").alias("to")), n)
-        moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
-        single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
-        groups = common.table(moved.unionByName(single), n)
+        left = common.table(placed.join(most, "k").filter("g != big.g").select("k", "m", "big.c"), n)
+        other = left.groupBy("k").agg(first(ROUNDS, -1).alias("o"))
+        left = common.table(left.join(other, "k").select("m", "c", "o"), n)
+        for turn in range(ROUNDS):
+            centres = F.concat(F.slice("c", turn * CENTRES + 1, CENTRES), F.slice("o", turn + 1, 1))
+            each = left.groupBy("m").agg(F.array_distinct(F.flatten(F.collect_list(centres))).alias("cs"))  # a member has one row a band
+            met = each.select("m", F.explode("cs").alias("c")).filter("c != m").join(tested, ["c", "m"], "left_anti")
+            group_of = groups.select(F.col("node").alias("x"), "component")
+            met = met.join(group_of.toDF("c", "gc"), "c", "left").join(group_of.toDF("m", "gm"), "m", "left")
+            met = met.select("c", "m", F.coalesce("gc", "c").alias("gc"), F.coalesce("gm", "m").alias("gm")).filter("gc != gm")
+            met = common.table(met, n)
+            more = common.table(verified(met.select("c", "m"), bag, least), n)
+            if more.isEmpty():
+                joined = False
+                break
+            tested = tested.unionByName(met.select("c", "m"))
+            new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm", n).select(F.col("node").alias("g2"), F.col("component").alias("to")), n)
+            moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
+            single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
+            groups = common.table(moved.unionByName(single), n)
+        order += CENTRES * ROUNDS
     groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")), n)
     known = sigs.select("id", "h").distinct().join(groups, "h").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "class_id")
     repeat = sigs.select("id").distinct().count() < n
