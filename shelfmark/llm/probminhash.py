@@ -12,8 +12,8 @@ bucket, members meet two centres instead of each other: the member whose buckets
 fullest (of many edits of one text, that text) and the first under a hash order. After
 components are formed, buckets that still span several components choose new centres, some
 of their largest component and some of the rest, for the members outside the largest to
-meet, leaving out pairs met before and pairs of one component, until a round joins nothing. Members of a hot centre
-are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
+meet, leaving out pairs met before and pairs of one component, until a round joins nothing.
+Members of a hot centre are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
 pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
 
 Defined cases: a null text or one without words is a class of its own; a text of one to
@@ -39,7 +39,7 @@ WORDS, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
 #: Centres of a bucket's largest component in a later round; rounds before buckets are looked at anew.
 CENTRES, ROUNDS = 2, 8
 #: Members of a centre that one task verifies.
-BLOCK = 256
+BLOCK = 512
 
 _U = np.uint64
 _SPACE: np.ndarray | None = None
@@ -184,10 +184,10 @@ def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
 def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     """The pairs (c, m) of centre and member whose similarity is at least ``least``."""
     kind = pairs.schema["c"].dataType.simpleString()
-    sizes = pairs.groupBy("c").count().select("c", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "c").select("c", F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int").alias("block"), "m")
-    members = members.join(bag.select(F.col("rep").alias("m"), "s", "n"), "m")
-    centres = sizes.join(bag.select(F.col("rep").alias("c"), "s", "n"), "c").select("c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "s", "n")
+    hottest = pairs.groupBy("c").count().agg(F.max("count")).first()[0] or 0
+    block = F.pmod(F.xxhash64("m"), F.lit(max(1, -(-hottest // BLOCK)))).cast("int")
+    members = pairs.select("c", block.alias("block"), "m").join(bag.select(F.col("rep").alias("m"), "s", "n"), "m")
+    centres = pairs.select("c", block.alias("block")).distinct().join(bag.select(F.col("rep").alias("c"), "s", "n"), "c")
     centres = centres.select(*(F.col(x).alias(x) for x in centres.columns))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -245,11 +245,12 @@ def _classes(docs: DataFrame, text: str, key: str, least: float) -> tuple[DataFr
         most = each.groupBy("k").agg(F.max_by(F.struct("g", "c"), F.struct("size", "g")).alias("big"))
         left = common.table(placed.join(most, "k").filter("g != big.g").select("k", "m", "big.c"), n)
         other = left.groupBy("k").agg(first(ROUNDS, -1).alias("o"))
-        left = common.table(left.join(other, "k").select("m", "c", "o"), n)
+        turns = [F.concat(F.slice("c", t * CENTRES + 1, CENTRES), F.slice("o", t + 1, 1)) for t in range(ROUNDS)]
+        left = left.join(other, "k").groupBy("m")  # a member has one row a band
+        left = common.table(left.agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(f"t{t}") for t, c in enumerate(turns))), n)
         for turn in range(ROUNDS):
-            centres = F.concat(F.slice("c", turn * CENTRES + 1, CENTRES), F.slice("o", turn + 1, 1))
-            each = left.groupBy("m").agg(F.array_distinct(F.flatten(F.collect_list(centres))).alias("cs"))  # a member has one row a band
-            met = each.select("m", F.explode("cs").alias("c")).filter("c != m").join(tested, ["c", "m"], "left_anti")
+            before = F.array_distinct(F.concat(F.array("m"), *(F.col(f"t{t}") for t in range(turn))))
+            met = left.select("m", F.explode(F.array_except(f"t{turn}", before)).alias("c")).join(tested, ["c", "m"], "left_anti")
             group_of = groups.select(F.col("node").alias("x"), "component")
             met = met.join(group_of.toDF("c", "gc"), "c", "left").join(group_of.toDF("m", "gm"), "m", "left")
             met = met.select("c", "m", F.coalesce("gc", "c").alias("gc"), F.coalesce("gm", "m").alias("gm")).filter("gc != gm")
