@@ -40,8 +40,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their best piece ids."""
-    return pieces.encoded(docs, pieces.load())
+    """Documents with their best piece ids; workers remember less, as other stages ran in them."""
+    return pieces.encoded(docs, pieces.load(), remembered=300_000)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("pii", private_data), ("mixing", mix_sources), ("sentencepiece", piece_ids)]

@@ -212,18 +212,18 @@ def _remembered(pieces: Pieces, n: int) -> Memory:
     return _MEMORY[pieces.name, n]
 
 
-def encode(texts: list[str | None], pieces: Pieces, n: int = N_BEST) -> list[pa.Array]:
+def encode(texts: list[str | None], pieces: Pieces, n: int = N_BEST, remembered: int = REMEMBERED) -> list[pa.Array]:
     """Arrays for FIELDS."""
     with _IN_USE:
-        return _encode(texts, pieces, n, _remembered(pieces, n))
+        return _encode(texts, pieces, n, _remembered(pieces, n), remembered)
 
 
-def _encode(texts: list[str | None], pieces: Pieces, n: int, m: Memory) -> list[pa.Array]:
+def _encode(texts: list[str | None], pieces: Pieces, n: int, m: Memory, remembered: int) -> list[pa.Array]:
     sizes, scores, best, good, parts = [], [], [], [], []
     for _, part in common.blocks(texts, 3_000_000):
         cut = [pieces.atoms(t) if t else [] for t in part]
         new = list(dict.fromkeys(u for us in cut for u in us if u not in m.place))
-        if len(m.place) + len(new) > REMEMBERED and m.place:
+        if len(m.place) + len(new) > remembered and m.place:
             m.clear()
             new = list(dict.fromkeys(chain.from_iterable(cut)))
         m.learn(new)
@@ -248,9 +248,9 @@ def _encode(texts: list[str | None], pieces: Pieces, n: int, m: Memory) -> list[
     return [pa.ListArray.from_arrays(offsets, pa.array(values)), pa.array(sizes, pa.int32()), pa.array(scores, pa.float64()), pa.array(best, kind), pa.array(good, pa.bool_())]
 
 
-def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST, keep: list[str] | None = None) -> DataFrame:
+def encoded(docs: DataFrame, pieces: Pieces, text: str = "text", n: int = N_BEST, keep: list[str] | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """``docs`` with the best piece ids, their number and score, and the scores of the ``n`` best."""
-    return common.append(docs, text, FIELDS, lambda texts: encode(texts, pieces, n), keep)
+    return common.append(docs, text, FIELDS, lambda texts: encode(texts, pieces, n, remembered), keep)
 
 
 def decoded(rows: DataFrame, pieces: Pieces, ids: str = "piece_ids", into: str = "text") -> DataFrame:
