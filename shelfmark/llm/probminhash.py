@@ -13,7 +13,8 @@ fullest (of many edits of one text, that text) and the first under a hash order.
 components are formed, buckets that still span several components choose new centres, some
 of their largest component and some of the rest, for the members outside the largest to
 meet, leaving out pairs met before and pairs of one component, until a round joins nothing.
-Members of a hot centre are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
+Then every pair of a bucket that is in two components meets, in blocks against blocks, so
+that no pair of a bucket is left out. Members of a hot centre are verified in blocks. Bags travel as 32-bit hashes: of two texts of n words, one
 pair of different shingles is taken for equal with a chance of n * n / 2 ** 32.
 
 Defined cases: a null text or one without words is a class of its own; a text of one to
@@ -38,8 +39,10 @@ from .graph import components
 WORDS, SIMILARITY, REGISTERS, BAND = 5, 0.8, 80, 4
 #: Centres of a bucket's largest component in a later round; rounds before buckets are looked at anew.
 CENTRES, ROUNDS = 2, 8
-#: Members of a centre that one task verifies.
-BLOCK = 512
+#: Members of a centre that one task verifies; members of a block that meets another.
+BLOCK, WIDE = 512, 1024
+#: Shingles of two blocks compared at once.
+COLUMNS = 4096
 
 _U = np.uint64
 _SPACE: np.ndarray | None = None
@@ -204,6 +207,110 @@ def verified(pairs: DataFrame, bag: DataFrame, least: float) -> DataFrame:
     return members.groupBy("c", "block").cogroup(centres.groupBy("c", "block")).applyInArrow(run, f"c {kind}, m {kind}")
 
 
+def links(a: tuple, b: tuple, wanted: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs ``wanted`` (rows by columns) of two blocks of bags whose similarity is at least ``least``.
+
+    A block is (offsets, sorted shingles, counts). The similarity is at most the share of
+    either bag that lies in common shingles, so only pairs with enough of both are looked at.
+    """
+    owner = [np.repeat(np.arange(len(x[0]) - 1), np.diff(x[0])) for x in (a, b)]
+    common_ = np.intersect1d(a[1], b[1])
+    shared, owned, held = [], [], []
+    for x, o in zip((a, b), owner, strict=True):
+        place = np.searchsorted(common_, x[1])
+        hit = np.flatnonzero(common_[np.minimum(place, len(common_) - 1)] == x[1]) if len(common_) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(place[hit], kind="stable")]
+        shared.append(place[hit])
+        owned.append(o[hit])
+        held.append(x[2][hit])
+    n, m = len(a[0]) - 1, len(b[0]) - 1
+    total = [np.bincount(o, x[2], k) for x, o, k in zip((a, b), owner, (n, m), strict=True)]
+    plain = [t == np.diff(x[0]) for x, t in zip((a, b), total, strict=True)]
+    counted = not (plain[0].all() and plain[1].all())
+    both, in_a, in_b = np.zeros((n, m), np.float32), np.zeros((n, m), np.float32), np.zeros((n, m), np.float32)
+    for lo in range(0, len(common_), COLUMNS):
+        ones, sums = [], []
+        for s, o, c, k in zip(shared, owned, held, (n, m), strict=True):
+            at = slice(*np.searchsorted(s, [lo, lo + COLUMNS]))
+            wide = np.zeros((k, min(COLUMNS, len(common_) - lo)), np.float32)
+            wide[o[at], s[at] - lo] = 1
+            ones.append(wide)
+            if counted:
+                wide = np.zeros_like(wide)
+                wide[o[at], s[at] - lo] = c[at]
+                sums.append(wide)
+        both += ones[0] @ ones[1].T
+        if counted:
+            in_a += sums[0] @ ones[1].T
+            in_b += ones[0] @ sums[1].T
+    unit = plain[0][:, None] & plain[1][None, :]
+    size = (total[0][:, None] + total[1][None, :]) - both
+    hit = wanted & unit & (both / np.maximum(size, 1) >= least)
+    if counted:
+        near = wanted & ~unit & (in_a >= total[0][:, None] * (least - 1e-5)) & (in_b >= total[1][None, :] * (least - 1e-5))
+        bag = lambda x, i: (x[1][x[0][i] : x[0][i + 1]], x[2][x[0][i] : x[0][i + 1]])
+        for i, j in zip(*np.nonzero(near), strict=True):
+            hit[i, j] = similarity(bag(a, i), bag(b, j)) >= least
+    return np.nonzero(hit)
+
+
+def exhausted(placed: DataFrame, own: DataFrame, bag: DataFrame, least: float) -> DataFrame:
+    """(ga, gb): components that a pair of one bucket links; ``placed`` has k, m and the component g.
+
+    The members of a bucket outside its largest component are dealt to blocks that meet each
+    other and the blocks of the largest. A pair is looked at in the first band it agrees in.
+    """
+    kind = placed.schema["m"].dataType.simpleString()
+    sizes = placed.groupBy("k", "g").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("k").agg(F.max(F.struct("n", "g")).alias("big"), F.sum("n").alias("all"))
+    ceil = lambda n: F.ceil(n / WIDE).cast("int")
+    most = most.filter("big.n < all").select("k", F.col("big.g").alias("bg"), ceil(F.col("all") - F.col("big.n")).alias("p"), ceil(F.col("big.n")).alias("q"))
+    dealt = placed.join(most, "k").withColumn("big", F.col("g") == F.col("bg"))
+    dealt = dealt.withColumn("at", F.pmod(F.xxhash64("m"), F.when(F.col("big"), F.col("q")).otherwise(F.col("p"))).cast("int"))
+    told = bag.select(F.col("rep").alias("m"), "s", "n").join(own.select(F.col("id").alias("m"), "bands").dropDuplicates(["m"]), "m")
+    dealt = dealt.join(told, "m").select("k", "m", "g", "s", "n", "bands", "big", "at", "p", "q")
+    one = dealt.filter("not big").select("k", F.col("at").alias("i"), F.explode(F.expr("sequence(at, p + q - 1)")).alias("t"), "g", "s", "n", "bands")
+    upto = F.explode(F.expr("sequence(0, if(big, p - 1, at))"))
+    two = dealt.select("k", upto.alias("i"), F.expr("if(big, p + at, at)").alias("t"), "g", "s", "n", "bands")
+    two = two.select(*(F.col(x).alias(x) for x in two.columns))
+
+    def block(t: pa.Table) -> tuple[tuple, np.ndarray]:
+        t = t.combine_chunks()
+        s, n = t.column("s").combine_chunks(), t.column("n").combine_chunks()
+        size = np.asarray(s.value_lengths())
+        offsets = np.r_[0, np.cumsum(size)].astype(np.int64)
+        counts = np.ones(offsets[-1], np.int64)
+        some = np.asarray(n.is_valid())
+        counts[np.repeat(some, size)] = np.asarray(n.flatten())
+        return (offsets, np.asarray(s.flatten()), counts), np.asarray(t.column("bands").combine_chunks().flatten()).reshape(t.num_rows, -1)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        edges: dict = {}
+        if left.num_rows and right.num_rows:
+            ga, gb = left.column("g").to_pylist(), right.column("g").to_pylist()
+            names = list(dict.fromkeys(ga + gb))
+            number = {g: i for i, g in enumerate(names)}
+            x, y = np.array([number[g] for g in ga]), np.array([number[g] for g in gb])
+            (a, bands_a), (b, bands_b) = block(left), block(right)
+            wanted = x[:, None] != y[None, :]
+            band = np.flatnonzero(bands_a[0] == key[0].as_py())
+            for j in range(band[0] if len(band) else 0):
+                wanted &= bands_a[:, j, None] != bands_b[None, :, j]
+            if wanted.any():
+                i, j = links(a, b, wanted, least)
+                i, j = np.unique(np.stack([x[i], y[j]]), axis=1)
+                label = np.arange(len(names))
+                while (label[i] != label[j]).any():
+                    low = np.minimum(label[i], label[j])
+                    np.minimum.at(label, i, low)
+                    np.minimum.at(label, j, low)
+                edges = {names[v]: names[g] for v, g in enumerate(label) if v != g}
+        kinds = left.schema.field("g").type
+        return pa.table({"ga": pa.array(list(edges), kinds), "gb": pa.array(list(edges.values()), kinds)})
+
+    return one.groupBy("k", "i", "t").cogroup(two.groupBy("k", "i", "t")).applyInArrow(run, f"ga {kind}, gb {kind}")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """key, class_id, kept: one row per row of ``docs``."""
     return _classes(docs, text, key, least)[0].drop("_d")
@@ -233,6 +340,13 @@ def _classes(docs: DataFrame, text: str, key: str, least: float) -> tuple[DataFr
     tested = common.table(meet(ranked, F.max_by("m", F.struct("full", F.xxhash64("m"))), by_hash(0)), n)
     groups = common.table(components(verified(tested, bag, least), "c", "m", n), n)
     apart = buckets.filter("size > 2").select("k", "m")  # in a bucket of two every pair has met
+
+    def merged(groups: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+        new = common.table(components(edges, a, b, n).select(F.col("node").alias("g2"), F.col("component").alias("to")), n)
+        moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
+        single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
+        return common.table(moved.unionByName(single), n)
+
     order, joined = 0, True
     while joined:
         placed = apart.join(groups, groups["node"] == apart["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
@@ -260,11 +374,10 @@ def _classes(docs: DataFrame, text: str, key: str, least: float) -> tuple[DataFr
                 joined = False
                 break
             tested = tested.unionByName(met.select("c", "m"))
-            new = common.table(components(more.join(met, ["c", "m"]), "gc", "gm", n).select(F.col("node").alias("g2"), F.col("component").alias("to")), n)
-            moved = groups.join(new, groups["component"] == new["g2"], "left").select("node", F.coalesce("to", "component").alias("component"))
-            single = new.join(groups.select(F.col("node").alias("g2")), "g2", "left_anti").select(F.col("g2").alias("node"), F.col("to").alias("component"))
-            groups = common.table(moved.unionByName(single), n)
+            groups = merged(groups, more.join(met, ["c", "m"]), "gc", "gm")
         order += CENTRES * ROUNDS
+    placed = apart.join(groups, groups["node"] == apart["m"], "left").select("k", "m", F.coalesce("component", "m").alias("g"))
+    groups = merged(groups, exhausted(common.table(placed, n * 4), own, bag, least), "ga", "gb")
     groups = common.table(reps.join(groups, groups["node"] == reps["rep"], "left").select("h", F.coalesce("component", "rep").alias("class_id")), n)
     known = sigs.select("id", "h").distinct().join(groups, "h").select(F.col("id").alias("_id"), F.col("h").alias("_h"), "class_id")
     repeat = sigs.select("id").distinct().count() < n

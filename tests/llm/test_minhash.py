@@ -83,6 +83,32 @@ def test_classes_match_all_pairs(spark):
     assert sorted(kept) == sorted(set(want.values()))
 
 
+def test_pairs_of_a_crowded_bucket_all_meet(spark):
+    rng = random.Random(5)
+    template, rows = [rng.choice(WORDS) for _ in range(104)], []
+    for g in range(800):  # 0.78 alike, 12 pairs of them 0.82, by few shingles of their own
+        for copy in range(2 if g < 12 else 1):
+            rows.append(" ".join(template + [f"g{g}x{i}" for i in range(3)] + [f"g{g}y{i}z{copy}" for i in range(11)]))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in probminhash.near_duplicates(df).collect()}
+    sets, parent = [set(bag(t)) for t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[i] = min(parent[i], parent[j])
+    assert got == dict(enumerate(parent))
+
+
+def test_links_of_blocks():
+    rng = np.random.default_rng(2)
+    held = [(np.sort(rng.choice(60, k, replace=False)), rng.integers(1, top + 1, k)) for k, top in zip([40, 45, 50, 55] * 6, [1, 1, 2, 3] * 6, strict=True)]
+    block = np.r_[0, np.cumsum([len(s) for s, _ in held])], np.concatenate([s for s, _ in held]), np.concatenate([c for _, c in held])
+    want = {(i, j) for i, a in enumerate(held) for j, b in enumerate(held) if i != j and probminhash.similarity(a, b) >= 0.6}
+    got = set(zip(*probminhash.links(block, block, ~np.eye(len(held), dtype=bool), 0.6), strict=True))
+    assert want and got == want
+
+
 def test_repeated_rows_and_nulls(spark):
     text = " ".join(WORDS[:30])
     rows = [(1, text), (1, text), (2, text), (3, None), (None, text), (3, ""), (2, "other words of the second text")]
