@@ -3,7 +3,9 @@
 A text is the mean of the embeddings of its hashed letter 3- and 4-grams; a linear softmax
 on that mean gives language probabilities. Both layers are trained together by stochastic
 gradient descent in numpy. A temperature fitted on rows kept out of the training calibrates
-the probabilities, and the calibration rows' own probabilities set the rejection threshold.
+the probabilities, and the calibration rows' own probabilities set the rejection threshold:
+the REJECT quantile of the right rows, in log odds. Below the lowest of few rows it is taken
+between that row and equal shares, so there is a threshold at any number of rows.
 As the softmax is linear, embedding times weights is one score per hash bucket and class,
 and a prediction is the mean of the scores of the text's n-grams.
 
@@ -172,12 +174,19 @@ def _calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
 
     model.temperature = float(min(np.geomspace(0.2, 8, 40), key=loss))
     p, _ = model.probabilities([t for (t, _), s in zip(rows, seen, strict=True) if s])
-    right = np.sort(p.max(1)[p.argmax(1) == y])
-    if (below := int(REJECT * len(right))) > 0:
-        model.threshold = float(min(right[below], 0.5))
+    model.threshold = _threshold(p.max(1)[p.argmax(1) == y], len(model.langs))
     return model
 
 
+def _threshold(right: np.ndarray, k: int) -> float:
+    """The REJECT quantile of the right rows' probabilities among ``k`` languages."""
+    if not len(right) or k < 2:
+        return 0.0
+    odds = lambda p: np.log(np.clip(p, 1e-15, 1 - 1e-15)) - np.log1p(-np.clip(p, 1e-15, 1 - 1e-15))
+    least = np.r_[odds(1 / k), np.sort(odds(right))]  # no probability is under equal shares
+    return float(1 / (1 + np.exp(-np.interp(REJECT * (len(right) + 1), np.arange(len(least)), least))))
+
+
 def identify(docs: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``rejected``."""
     if model is None:

@@ -49,6 +49,18 @@ def test_language_edges(spark, docs):
     assert langid.train(nulls) is None
 
 
+def test_unlearned_language_is_rejected():
+    rng = random.Random(4)
+    letters = ["abdeginorst", "cehlmnoprsu", "aefhiklouvw", "adjmoqrtuxz", "бвгдежзикло"]
+    words = [["".join(rng.choice(few) for _ in range(rng.randint(2, 7))) for _ in range(300)] for few in letters]
+    made = lambda k: " ".join(rng.choice(words[k]) for _ in range(60))
+    model = langid.fit([(made(k), f"l{k}") for k in range(4) for _ in range(500)])
+    assert 0.25 < model.threshold < 1
+    clean = model.predict([made(k) for k in range(4) for _ in range(250)])[2]
+    assert sum(clean) <= 0.01 * len(clean)
+    assert sum(model.predict([made(4) for _ in range(100)])[2]) >= 95
+
+
 # ---------------------------------------------------------------- toxicity
 
 
