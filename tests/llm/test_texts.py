@@ -179,24 +179,34 @@ def vocabulary():
     return pieces.load()
 
 
-def test_n_best_by_enumeration(vocabulary):
+def test_n_best_by_enumeration(vocabulary, spark):
     p = vocabulary
 
     def slow(a):
+        """(score, ids) of every segmentation."""
         if not a:
-            return [0.0]
+            return [(0.0, ())]
         out = []
         for j in range(1, len(a) + 1):
-            s = p.scores.get(a[:j], p.floor * len(p.spelled(a)) if j == 1 and a[0] not in p.ids else None)
-            if j == 1 and a[0] not in p.ids:
-                s = p.floor * len(p.spelled(a[0]))
-            if s is not None:
-                out += [s + r for r in slow(a[j:])]
+            if a[:j] in p.ids:
+                one = (p.scores[a[:j]], (p.ids[a[:j]],))
+            elif j == 1:
+                one = (p.floor * len(p.spelled(a[0])), p.spelled(a[0]))
+            else:
+                continue
+            out += [(one[0] + s, one[1] + i) for s, i in slow(a[j:])]
         return sorted(out, reverse=True)
 
-    for text in ("the cat", "ción", "a.b", " x", "日本"):
-        best = [x["score"] for x in pieces.encode([text], p, 4)[3][0].as_py()]
-        assert np.allclose(best, slow(" " + text)[: len(best)])
+    texts = ["the cat", "ción", "a.b", " x", "日本", "sat on", "t h e"]
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, rank int")
+    found = pieces.segmentations(pieces.encoded(rows, p, n=4)).collect()
+    for i, text in enumerate(texts):
+        got = sorted((r.rank, r.score, tuple(r.piece_ids), r.n_pieces) for r in found if r.doc_id == i)
+        every = slow(" " + text)
+        assert len(got) == min(4, len(every)) and len({g[2] for g in got}) == len(got)
+        assert np.allclose([g[1] for g in got], [s for s, _ in every[: len(got)]])
+        scores = {i: s for s, i in every}
+        assert all(np.isclose(scores[g[2]], g[1]) and g[3] == len(g[2]) for g in got)
 
 
 def test_round_trips(vocabulary, spark):
