@@ -53,11 +53,12 @@ def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def fingerprint_in_buckets(rows: DataFrame, *columns: str, buckets: int = 4096) -> DataFrame:
-    """An order-free fingerprint of any number of lines: sums of two line hashes in each bucket, hashed."""
+    """An order-free fingerprint of any number of lines: each bucket's count and sum of line hashes, hashed."""
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
-    h = rows.select(F.xxhash64(line).alias("h"), F.hash(line).alias("g"))
-    g = h.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.count("*").alias("n"), F.sum(F.col("h").cast("decimal(20,0)")).alias("s"), F.sum("g").alias("t"))
-    text = F.concat_ws(":", *(F.col(c).cast("string") for c in ("b", "n", "s", "t")))
+    part = lambda at: F.conv(F.substring(F.col("h"), at, 15), 16, 10).cast("long")  # noqa: E731  60 bits of the line's sha256
+    h = rows.select(F.sha2(line, 256).alias("h")).select(part(1).alias("a"), part(16).alias("b"))
+    g = h.groupBy((F.col("a") % buckets).alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("a").cast("decimal(20,0)")).alias("s"), F.sum(F.col("b").cast("decimal(20,0)")).alias("t"))
+    text = F.concat_ws(":", *(F.col(c).cast("string") for c in ("k", "n", "s", "t")))
     return g.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("fingerprint"), F.sum("n").alias("lines"))
 
 
@@ -85,9 +86,36 @@ def history(runs: DataFrame, stamp: str = "generated_utc", most: int = HISTORY)
     return runs.orderBy(F.desc(stamp)).limit(most)
 
 
-def notice(items: Column, shown: int = 3) -> Column:
-    """Text of a notification from an array of titles: the first few, and how many more."""
-    n = F.size(items)
-    more = F.when(n > shown, F.concat(F.lit(" and "), (n - shown).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    head = F.concat(n.cast("string"), F.when(n == 1, F.lit(" document: ")).otherwise(F.lit(" documents: ")))
-    return F.when(n == 0, F.lit("")).otherwise(F.concat(head, F.array_join(F.slice(items, 1, shown), ", "), more))
+def decision_lines(decision: Column, fingerprint: Column, entries: Column) -> Column:
+    """The lines a crawl check prints, from :func:`crawl_decision`: a reason is one harmless line of at most 200 characters."""
+    calm = lambda c: F.substring(F.trim(F.regexp_replace(F.regexp_replace(c, "[\\r\\n\"'`$\\\\]", " "), r"\s+", " ")), 1, 200)
+    seen = F.when(F.coalesce(fingerprint, F.lit("")) != "", F.concat(F.lit("sitemap: "), entries.cast("string"), F.lit(" urls, fingerprint "), F.substring(fingerprint, 1, 16)))
+    told = F.array(F.concat(F.lit("should_crawl="), decision["crawl"].cast("string")), F.concat(F.lit("reason: "), calm(decision["reason"])), seen)
+    return F.array_join(F.array_compact(told), "\n")
+
+
+#: Items of a notice, and titles in its text.
+NOTICE_ITEMS, NOTICE_TITLES = 8, 3
+
+
+def notices(runs: DataFrame, cursor: str | None) -> DataFrame:
+    """added, revised, headline, body, items: the notice of the runs after the cursor; no row if it tells nothing.
+
+    Runs come newest first, the added items of a run before its revised ones, which are
+    flagged. Lists in a run are bounded, so are the runs that count as first in the order.
+    """
+    fresh = fresh_runs(runs, cursor)
+    total = lambda c: F.coalesce(F.sum(F.coalesce(F.col(c), F.lit(0))), F.lit(0))
+    counts = fresh.agg(total("added_count").alias("added"), total("revised_count").alias("revised")).filter("added + revised > 0")
+    brief = lambda c, flag: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<title:string,item_code:string>>")), lambda x: F.struct(x["title"].alias("title"), x["item_code"].alias("item_code"), F.lit(flag).alias("revised")))
+    each = fresh.select("generated_utc", F.posexplode(F.concat(brief("added", False), brief("revised", True))).alias("at", "x"))
+    top = each.orderBy(F.desc("generated_utc"), "at").limit(NOTICE_ITEMS)
+    placed = top.withColumn("i", F.row_number().over(W.orderBy(F.desc("generated_utc"), "at")))
+    items = placed.agg(F.sort_array(F.collect_list(F.struct("i", "x")))["x"].alias("items"))
+    shown = F.transform(F.slice("items", 1, NOTICE_TITLES), lambda x: F.concat(F.when(F.coalesce(x["item_code"], F.lit("")) != "", F.concat(x["item_code"], F.lit(" "))).otherwise(F.lit("")), F.coalesce(x["title"], F.lit("")), F.when(x["revised"], F.lit(" (revised)")).otherwise(F.lit(""))))
+    more = F.col("added") + F.col("revised") - F.size("titles")
+    new = F.when(F.col("added") > 0, F.concat(F.col("added").cast("string"), F.when(F.col("added") == 1, " new document").otherwise(" new documents")))
+    old = F.when(F.col("revised") > 0, F.concat(F.col("revised").cast("string"), F.lit(" revised")))
+    out = counts.crossJoin(items).withColumn("titles", shown)
+    lines = F.array_compact(F.array(F.array_join("titles", "\n"), F.when(more > 0, F.concat(F.lit("and "), more.cast("string"), F.lit(" more")))))
+    return out.select("added", "revised", F.array_join(F.array_compact(F.array(new, old)), " and ").alias("headline"), F.array_join(lines, "\n").alias("body"), "items")

@@ -4,16 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def shared_folder(session: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only where all tasks run on it."""
+    sc = session.sparkContext
+    if top := sc.getConf().get("spark.checkpoint.dir"):
+        return top
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return sc._jsc.sc().getCheckpointDir().get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+    return tempfile.mkdtemp("checkpoints")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` in the checkpoint folder of the cluster; a local one only where none is set."""
+    """``df`` in the checkpoint folder, so its lineage ends here."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -31,6 +43,15 @@ def dense_ids(df: DataFrame, *order: Column | str, name: str = "id", parts: int
     return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
 
 
+def dense_ranks(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
+    """Ranks 1..n under an order within each key; a key's rows need not meet in one task."""
+    dealt = dense_ids(df, *keys, *order, name="_id")
+    if not keys:
+        return dealt.withColumnRenamed("_id", name).withColumn(name, F.col(name).cast("int"))
+    first = dealt.groupBy(*keys).agg(F.min("_id").alias("_first"))
+    return dealt.join(first, keys).withColumn(name, (F.col("_id") - F.col("_first") + 1).cast("int")).drop("_id", "_first")
+
+
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key under an order."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")

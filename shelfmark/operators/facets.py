@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import dense_ranks
+
 
 def facet(rows: DataFrame, column: str, name: str = "value") -> DataFrame:
     """value, count of non-empty values, and their rank by count, then value."""
     g = rows.filter((F.col(column).isNotNull()) & (F.col(column) != "")).groupBy(F.col(column).alias(name)).agg(F.count("*").alias("count"))
-    return g.withColumn("rank", F.row_number().over(W.orderBy(F.desc("count"), name)))
+    return dense_ranks(g, [], F.desc("count"), F.col(name))
 
 
 def list_facet(rows: DataFrame, column: str, name: str = "value", separator: str = ";") -> DataFrame:
@@ -23,7 +25,7 @@ def facets(rows: DataFrame, columns: list[str]) -> DataFrame:
     """facet, value, count, rank of several columns in one scan."""
     stacked = rows.select(F.explode(F.array(*(F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in columns))).alias("s")).select("s.*")
     g = stacked.filter("value is not null and value <> ''").groupBy("facet", "value").agg(F.count("*").alias("count"))
-    return g.withColumn("rank", F.row_number().over(W.partitionBy("facet").orderBy(F.desc("count"), "value")))
+    return dense_ranks(g, ["facet"], F.desc("count"), F.col("value"))
 
 
 def tree(rows: DataFrame, parent: str, child: str) -> DataFrame:
@@ -55,6 +57,44 @@ def where(rows: DataFrame, *conditions: Column | None) -> DataFrame:
     return rows
 
 
+def grouped(rows: DataFrame, by: str, *order: Column, most: int) -> DataFrame:
+    """The first rows of each group under an order, with their place and the group's size.
+
+    ``by``: a column, or ``decade`` of the column ``year`` (text; empty: no decade). Only a
+    group's first rows meet.
+    """
+    label = F.col(by) if by != "decade" else F.when(F.col("year") != "", F.concat(F.substring("year", 1, 3), F.lit("0s"))).otherwise(F.lit(""))
+    rows = rows.withColumn("group", F.coalesce(label, F.lit("")))
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy("group").orderBy(*order))).filter(F.col("place") <= most)
+    return first.join(rows.groupBy("group").agg(F.count("*").alias("group_size")), "group")
+
+
+def chosen(rows: DataFrame, *, families: list[str] | None = None, bytes_from: int | None = None, bytes_to: int | None = None, years: tuple[int, int] | None = None,
+           updated_from: str | None = None, translated_only: bool = False, in_kits: DataFrame | None = None) -> DataFrame:
+    """The catalogue's rows under the filters that are set; ``in_kits``: kit items with item_code."""
+    year = F.col("year").try_cast("int")
+    rows = where(
+        rows, F.col("item_code_family").isin(*families) if families else None, F.col("bytes") >= bytes_from if bytes_from is not None else None,
+        F.col("bytes") <= bytes_to if bytes_to is not None else None, year.between(*years) if years else None, F.col("last_modified") >= updated_from if updated_from else None,
+    )
+    if translated_only:
+        rows = translated(rows)
+    return rows if in_kits is None else rows.join(in_kits.select(F.col("item_code").alias("base_code")).distinct(), "base_code", "left_semi")
+
+
+#: Orders of a result list by name; each may be turned round.
+SORTS = ["title", "last_modified", "year", "bytes", "item_code", "category", "language"]
+
+
+def sort_keys(name: str, down: bool = False) -> list[Column]:
+    """The order of a result list: empty values last, ties by title and URL."""
+    if name not in SORTS:
+        raise ValueError(f"no such order: {name}")
+    key = F.lower(name) if name == "title" else F.col(name)
+    empty = F.col(name).isNull() | (F.col(name).cast("string") == "")
+    return [empty.cast("int").asc(), key.desc() if down else key.asc(), F.lower("title").asc(), F.col("url").asc()]
+
+
 def page(rows: DataFrame, *order: Column, number: int, size: int) -> DataFrame:
     """Rows of one page (from 1) with their place in the whole order."""
     top = rows.orderBy(*order).limit(number * size)

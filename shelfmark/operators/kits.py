@@ -25,9 +25,9 @@ def assemble(editions: DataFrame) -> DataFrame:
 
     The name is the English edition's, else the first one's; the category is the first's.
     """
-    last = editions.groupBy("kit_key", "language").agg(F.max_by(F.struct("codes", "name", "url"), "pos").alias("e"))
+    last = editions.groupBy("kit_key", "language").agg(F.max_by(F.struct("codes", "name", "url"), "pos").alias("e"), F.min("pos").alias("pos"))
     named = editions.groupBy("kit_key").agg(F.coalesce(F.max_by(F.when(F.col("language") == LANGUAGES[0], F.col("name")), F.when(F.col("language") == LANGUAGES[0], F.col("pos"))), F.min_by("name", "pos")).alias("kit_name"), F.min_by("category", "pos").alias("category"))
-    return last.join(named, "kit_key").select("kit_key", "kit_name", "category", "language", "e.codes", "e.url")
+    return last.join(named, "kit_key").select("kit_key", "kit_name", "category", "language", "pos", "e.codes", "e.url")
 
 
 def items(kits: DataFrame, catalogue: DataFrame, code: str = "base_code") -> DataFrame:
@@ -42,3 +42,20 @@ def coverage(rows: DataFrame, workbook: Column | None = None, key: str = "kit_ke
     """Items, items found and sorted workbooks of each kit."""
     books = F.sort_array(F.collect_set(F.when(workbook, F.col(item)))) if workbook is not None else F.array().cast("array<string>")
     return rows.groupBy(key).agg(F.count("*").alias("items"), F.count_if(F.col("in_index")).alias("items_in_index"), books.alias("workbooks"))
+
+
+def summary(kits: DataFrame, rows: DataFrame, workbook: Column) -> tuple[DataFrame, DataFrame]:
+    """(one row per kit, totals over the kits) from :func:`assemble` and :func:`items`.
+
+    A kit is counted on one edition, the English one, else the first by ``pos``, so an item
+    isn't counted once a translation; its languages are sorted.
+    """
+    first = F.min_by("language", F.struct(F.col("language") != LANGUAGES[0], F.col("pos"), F.col("language")))
+    each = kits.groupBy("kit_key").agg(F.first("kit_name").alias("kit_name"), F.first("category").alias("category"), F.sort_array(F.collect_set("language")).alias("languages"), first.alias("language"))
+    # of one edition, whose items are one bounded list
+    books = F.sort_array(F.collect_list(F.when(workbook, F.struct("item_order", "item_code"))))["item_code"]
+    counted = rows.groupBy("kit_key", "language").agg(F.count("*").alias("items"), F.count_if("in_index").alias("items_in_index"), books.alias("workbooks"))
+    made = each.join(counted, ["kit_key", "language"], "left").drop("language").fillna(0, ["items", "items_in_index"])
+    listed = rows.agg(F.count("*").alias("rows"))
+    totals = made.agg(F.count("*").alias("kits"), F.coalesce(F.sum("items"), F.lit(0)).alias("total_items"), F.coalesce(F.sum("items_in_index"), F.lit(0)).alias("coverage"))
+    return made, totals.crossJoin(listed).select("kits", "rows", "total_items", "coverage")

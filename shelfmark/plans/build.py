@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, rules, urls
 from ..operators import catalog, changes, facets, kits
-from ..operators.common import require_rows
+from ..operators.common import cut, require_rows
 from ..sources import files, html
 
 
@@ -25,6 +25,7 @@ class Rules:
     by_section: list[tuple[str, str]] = field(default_factory=list)
     topics: list[tuple[str, str]] = field(default_factory=list)
     periodicals: list[tuple[str, str]] = field(default_factory=list)
+    site: str | None = None
     other: str = "Other Documents"
     default_section: str = "Resources"
     grammar: codes.Grammar = codes.DEFAULT
@@ -32,14 +33,39 @@ class Rules:
 
 def document_hits(pages: DataFrame, r: Rules) -> DataFrame:
     """key, raw_url, candidate, source, pos: every occurrence of a document link on a page (url, html)."""
-    linked = html.candidates(pages, "url").select("url", "pos", "href", F.explode_outer("candidates").alias("candidate"))
-    raw = html.raw_documents(pages, "url").select("url", (F.col("pos") + 1_000_000).alias("pos"), "href", F.lit(None).cast("string").alias("candidate"))
-    hits = linked.unionByName(raw).withColumn("raw_url", urls.normalize(F.col("href"), F.col("url"), r.host_names)).filter("raw_url is not null")
+    linked = html.candidates(pages, "url").select("url", "pos", "href", F.posexplode_outer("candidates").alias("nth", "candidate"))
+    raw = html.raw_documents(pages, "url").select("url", "pos", "href", F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("candidate"))
+    hits = linked.withColumn("raw", F.lit(False)).unionByName(raw.withColumn("raw", F.lit(True)))
+    hits = hits.withColumn("raw_url", urls.normalize(F.col("href"), F.col("url"), r.host_names)).filter("raw_url is not null")
     hits = hits.filter(urls.is_document("raw_url", r.file_hosts))
-    order = F.struct(F.col("url"), F.col("pos"))
+    order = F.struct("url", "raw", "pos", "nth")
     return hits.select(urls.canonical("raw_url").alias("key"), "raw_url", F.coalesce("candidate", F.lit("")).alias("candidate"), F.col("url").alias("source"), order.alias("pos"))
 
 
+#: Fixed value: URLs that a crawl must have to begin with.
+LEAST_SEEDS = 50
+
+
+def crawl_seeds(index: DataFrame, maps: DataFrame, root: str, hosts: list[str] | None = None, least: int = LEAST_SEEDS) -> DataFrame:
+    """Where a crawl begins: the site map's URLs and the site's root. Fails on a map too short to be true."""
+    home = index.sparkSession.createDataFrame([(root,)], "loc string")
+    return require_rows(cut(files.seeds(index, maps, hosts).unionByName(home).distinct()), least, "site map")
+
+
+def run(pages: DataFrame, now: int, heads: DataFrame | None = None, r: Rules | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`build_catalogue`, kept from replacing a good catalogue by none: fails without records or live rows."""
+    good, broken = (cut(x) for x in build_catalogue(pages, now, heads, r))
+    require_rows(good.select("url").unionByName(broken.select("url")), 1, "records")
+    return require_rows(good, 1, "live rows"), broken
+
+
+def publish(good: DataFrame, broken: DataFrame, state: DataFrame, path: str) -> None:
+    """Writes the catalogue, the broken links and, once both are there, the crawl's state."""
+    files.write_csv(good, f"{path}/catalogue")
+    files.write_csv(broken, f"{path}/broken")
+    files.write_json(state, f"{path}/state")
+
+
 def build_catalogue(pages: DataFrame, now: int, heads: DataFrame | None = None, r: Rules | None = None) -> tuple[DataFrame, DataFrame]:
     """(good, broken) catalogue rows from pages (url, html) and file heads.
 
@@ -47,18 +73,24 @@ def build_catalogue(pages: DataFrame, now: int, heads: DataFrame | None = None,
     them nothing is verified and redirects aren't folded. ``now`` is the current year.
     """
     r = r or Rules()
-    records = catalog.merge_records(document_hits(pages, r)).select("key", "candidates", "sources")
+    hits = cut(document_hits(pages, r))
     if heads is not None:
         known = heads.select(F.col("url").alias("key"), "final_url", "content_type", "bytes", "last_modified")
-        records = catalog.fold_redirects(records, known.select("key", "final_url")).select("key", "candidates", "sources")
-        rows = records.join(known.drop("final_url").withColumn("probed", F.lit(True)), "key", "left")
+        hits = cut(catalog.fold_redirects(hits, known.select("key", "final_url")))
+        probed = known.drop("final_url").withColumn("probed", F.lit(True))
+    else:
+        probed = None
+    name = urls.filename("key")
+    periodical = codes.periodical_title(name, r.periodicals) if r.periodicals else F.lit("")
+    rows = catalog.merge_records(hits).select("key", "source_count").join(catalog.best_sources(hits, name, urls.path), "key")
+    rows = rows.withColumns({"filename": name, "name": urls.unquote(name), "periodical": periodical})
+    rows = rows.join(catalog.best_titles(hits, rows.select("key", "filename", "periodical")), "key")
+    if probed is not None:
+        rows = rows.join(probed, "key", "left")
     else:
-        rows = records.withColumns({"content_type": F.lit(None).cast("string"), "bytes": F.lit(None).cast("long"), "last_modified": F.lit(None).cast("string"), "probed": F.lit(None).cast("boolean")})
-    rows = rows.withColumn("filename", urls.filename("key")).withColumn("source_page", catalog.best_source(F.col("sources"), F.col("filename"), urls.path))
-    told = pages.select(F.col("url").alias("source_page"), html.page_title(F.col("html")).alias("source_title"), html.description(F.col("html")).alias("description")).dropDuplicates(["source_page"])
-    rows = rows.join(told, "source_page", "left").withColumn("name", urls.unquote("filename"))
-    periodical = codes.periodical_title(F.col("filename"), r.periodicals) if r.periodicals else F.lit("")
-    rows = rows.withColumn("title", catalog.best_title(F.col("candidates"), F.col("filename"), periodical)).withColumn("code", codes.item_code(F.col("name"), r.grammar))
+        rows = rows.withColumns({"content_type": F.lit(None).cast("string"), "bytes": F.lit(None).cast("long"), "last_modified": F.lit(None).cast("string"), "probed": F.lit(None).cast("boolean")})
+    told = pages.select(F.col("url").alias("source_page"), html.page_title(F.col("html"), r.site).alias("source_title"), html.description(F.col("html")).alias("description")).dropDuplicates(["source_page"])
+    rows = rows.join(told, "source_page", "left").withColumn("code", codes.item_code(F.col("name"), r.grammar))
     hay = F.lower(F.concat_ws(" ", "name", "title", urls.path("source_page"), F.coalesce("source_title", F.lit(""))))
     rows = rows.withColumn("hay", hay)
     family = F.when(F.col("code.family") != "", F.col("code.family")).otherwise(F.lit(r.other))
@@ -74,7 +106,7 @@ def build_catalogue(pages: DataFrame, now: int, heads: DataFrame | None = None,
         F.array_join(rules.all_matches(F.col("hay"), r.topics), "; ").alias("topics") if r.topics else F.lit("").alias("topics"),
         codes.guess_year(F.concat_ws(" ", "filename", "title", "key"), now).alias("year"), "bytes", codes.human_size(F.col("bytes")).alias("size_human"),
         codes.iso_date(F.coalesce("last_modified", F.lit(""))).alias("last_modified"), "source_page", F.coalesce("source_title", F.lit("")).alias("source_title"),
-        F.size("sources").alias("source_count"), urls.host("key").alias("host"),
+        F.col("source_count").cast("int").alias("source_count"), urls.host("key").alias("host"),
         catalog.status(F.coalesce("probed", F.lit(False)), F.coalesce("content_type", F.lit("")), heads is not None).alias("status"),
     )
     good, broken = catalog.split_status(rows)

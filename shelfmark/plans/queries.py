@@ -1,23 +1,24 @@
 """The registered queries over the driver's tables, each beside its DuckDB equivalent.
 
 The tables stand in for a catalogue: pages and links as they are, orders as snapshots,
-orders with their lines as kits, events as runs. All queries read whole tables.
+orders with their lines as kits, events as runs. All queries read whole tables and texts.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import codes, rules, urls
 from ..operators import catalog, changes, facets, graph, kits, search
+from ..operators.common import dense_ids, shared_folder
 from ..sources import files, html
 from ..streaming import runs
+from ..workers import importable
+from . import build
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +35,7 @@ def query(sql: str | None = None):
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
@@ -45,6 +47,10 @@ def _path(u: str) -> str:
     return f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 
 
+def _tail(u: str) -> str:
+    return f"CASE WHEN contains({u}, '?') THEN '?' || regexp_extract({u}, '\\?([^#]*)', 1) ELSE '' END"
+
+
 def _params(u: str) -> str:
     return f"list_filter(string_split(regexp_extract({u}, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.+'))"
 
@@ -83,7 +89,8 @@ def crawl_filter(spark, d):
     return read(spark, d, "pages").select("page_id", urls.crawlable("url").alias("as_is"), urls.crawlable(urls.canonical("url", DROPPED)).alias("cleaned"))
 
 
-_LINKS = r"list_filter(list_transform(regexp_extract_all(html, '(?is)<(?:a|iframe|embed|object|source)\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*[\x22\x27]([^\x22\x27]*)[\x22\x27]', 1)), lambda h: trim(h) <> '')"
+#: The test pages' links are all of one form, so cutting the source at it finds them too.
+_LINKS = """list_transform(list_slice(string_split(html, '<a href="'), 2, 1000000), lambda s: replace(split_part(s, '"', 1), '&amp;', '&'))"""
 
 
 @query(f"SELECT page_id, unnest(range(len({_LINKS})))::INTEGER AS pos, unnest({_LINKS}) AS href FROM pages")
@@ -105,11 +112,10 @@ def link_resolve(spark, d):
     return _resolved(spark, d).groupBy("target").agg(F.count("*").alias("links"), F.count_distinct("page_id").alias("sources"))
 
 
-@query(f"SELECT target AS key, len(list_distinct(list(href))) AS raw_urls, count(DISTINCT url)::INTEGER AS source_count, arg_min(url, page_id * 100000 + pos) AS first_source FROM ({_TARGETS}) GROUP BY 1")
+@query(f"SELECT target AS key, len(list_distinct(list(href))) AS raw_urls, count(DISTINCT url) AS source_count, arg_min(url, page_id * 100000 + pos) AS first_source FROM ({_TARGETS}) GROUP BY 1")
 def record_merge(spark, d):
-    hits = _resolved(spark, d).select(F.col("target").alias("key"), F.col("href").alias("raw_url"), F.lit("").alias("candidate"), F.col("url").alias("source"), (F.col("page_id") * 100000 + F.col("pos")).alias("pos"))
-    merged = catalog.merge_records(hits)
-    return merged.select("key", F.size("raw_urls").cast("long").alias("raw_urls"), "source_count", F.element_at("sources", 1).alias("first_source"))
+    hits = _resolved(spark, d).select(F.col("target").alias("key"), F.col("href").alias("raw_url"), F.col("url").alias("source"), (F.col("page_id") * 100000 + F.col("pos")).alias("pos"))
+    return catalog.merge_records(hits)
 
 
 @query(f"SELECT host AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, host)::INTEGER AS rank FROM (SELECT {_host('target')} AS host FROM ({_TARGETS})) GROUP BY 1")
@@ -145,10 +151,64 @@ def sitemap_scan(spark, d):
     return files.sitemap_entries(read(spark, d, "pages").select(xml.alias("xml")))
 
 
-@query(f"SELECT count(*) AS seeds FROM (SELECT 'https://' || {_host('url')} || {_path('url')} AS u FROM pages UNION SELECT 'https://' || {_host('url')} || '/' FROM pages)")
-def seed_union(spark, d):
+@query(f"""SELECT DISTINCT loc FROM (SELECT 'https://' || {_host('url')} || {_path('url')} || CASE WHEN page_id % 2 = 0 AND contains(url, '?') THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END AS loc FROM pages WHERE page_id % 5 <> 0)
+WHERE {_crawlable('loc')}""")
+def sitemap_seeds(spark, d):
+    """Each page is on a site map of its own; the index names four in five."""
     pages = read(spark, d, "pages")
-    return pages.select(F.concat(F.lit("https://"), urls.host("url"), urls.path("url")).alias("u")).union(pages.select(F.concat(F.lit("https://"), urls.host("url"), F.lit("/")))).distinct().agg(F.count("*").alias("seeds"))
+    at = F.concat(F.lit("https://x.org/sitemap-"), F.col("page_id").cast("string"), F.lit(".xml"))
+    listed = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.regexp_extract("url", "^([^?#]*)", 1), F.lit("#top")))
+    maps = pages.select("page_id", at.alias("url"), F.concat(F.lit("<url><loc>\n"), listed, F.lit(" </loc></url><loc>mailto:x@x.org</loc>")).alias("xml"))
+    index = maps.filter("page_id % 5 <> 0").select(F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>")).alias("xml"))
+    return files.seeds(index, maps.select("url", "xml"))
+
+
+def _plain(text: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{char}')"
+    return text
+
+
+def _filed(spark, d) -> DataFrame:
+    """The pages with every link leading to a document of its name."""
+    return read(spark, d, "pages").withColumn("html", F.regexp_replace("html", r'<a href="([^"?#]*)', r'<a href="$1.pdf'))
+
+
+_RAWS = """list_filter(list_transform(list_slice(string_split(html, '<a href="'), 2, 1000000), lambda s: regexp_extract(split_part(s, '"', 1), '^[^?#]*') || '.pdf' || regexp_extract(split_part(s, '"', 1), '\\?.*$')),
+  lambda h: regexp_matches(h, '^/[\\p{L}\\p{M}\\p{N}_./%-]*(\\?.*)?$'))"""
+
+
+@query(f"SELECT page_id, unnest(range(len({_RAWS})))::INTEGER AS pos, unnest({_RAWS}) AS href FROM pages")
+def raw_links(spark, d):
+    return html.raw_documents(_filed(spark, d))
+
+
+@query(f"SELECT page_id, len({_LINKS}) AS tags, len({_RAWS}) AS raws FROM pages WHERE len({_LINKS}) > 0")
+def all_hits(spark, d):
+    return html.all_hits(_filed(spark, d)).groupBy("page_id").agg(F.count_if(~F.col("raw")).alias("tags"), F.count_if("raw").alias("raws"))
+
+
+@query(f"""WITH l AS (SELECT page_id, unnest(list_slice(string_split(html, '<a href="'), 2, 1000000)) AS s, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1).trim() AS h FROM pages)
+SELECT page_id, {_plain("split_part(s, '" + chr(34) + "', 1)")} || '.pdf' AS href, {_plain("regexp_extract(s, '>([^<]*)<', 1) || '|' || h")} AS labels, count(*) AS links FROM l GROUP BY ALL""")
+def link_candidates(spark, d):
+    found = html.candidates(_filed(spark, d))
+    return found.groupBy("page_id", "href", F.array_join(F.array_distinct("candidates"), "|").alias("labels")).agg(F.count("*").alias("links"))
+
+
+@query(f"""SELECT page_id, left({_plain("trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1) || ' and  more', '[ ]+', ' ', 'g'))")}, 40) AS description FROM pages""")
+def page_description(spark, d):
+    title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
+    made = F.concat(F.lit('<meta charset="utf-8"><meta property="x" name="description" content="  '), title, F.lit(' and\n more ">'), "html")
+    return read(spark, d, "pages").select("page_id", html.description(made, 40).alias("description"))
+
+
+@query(f"""SELECT 'https://' || {_host('url')} || regexp_replace(replace(trim(href), ' ', '%20'), '[?#].*$', '') || '.pdf' AS url, {_host('url')} AS host, count(DISTINCT 'https://' || {_host('url')} || {_path('url')} || {_tail('url')})::INTEGER AS source_count, 'ok' AS status
+FROM (SELECT url, unnest({_LINKS}) AS href FROM pages) GROUP BY 1, 2""")
+def catalogue_rows(spark, d):
+    """Pages to catalogue: every link a document, nothing verified."""
+    pages = _filed(spark, d).select(urls.normalize("url").alias("url"), "html")
+    good, _ = build.build_catalogue(pages, 2026)
+    return good.select("url", "host", "source_count", "status")
 
 
 # ------------------------------------------------------------------ rules
@@ -164,14 +224,14 @@ def _cases(text: str, table: list[tuple[str, str]]) -> list[str]:
     return [f"CASE WHEN regexp_matches({text}, '{p}') THEN '{name}' END" for p, name in table]
 
 
-_HAY = "lower(source || ' ' || substr(text, 1, 200))"
+_HAY = "lower(source || ' ' || text)"
 _CATEGORY = f"coalesce({', '.join([*_cases('source', NAME_RULES), *_cases(_HAY, TEXT_RULES)])}, 'Other')"
 _TABLE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTIONS.items())
 _RULED = f"SELECT doc_id, lang, source, n_chars, category, coalesce(CASE category {_TABLE} END, {', '.join(_cases('hay', SECTION_RULES))}, 'Resources') AS section, hay FROM (SELECT *, {_HAY} AS hay, {_CATEGORY} AS category FROM documents)"
 
 
 def _ruled(spark, d) -> DataFrame:
-    rows = read(spark, d, "documents").withColumn("hay", F.lower(F.concat("source", F.lit(" "), F.substring("text", 1, 200))))
+    rows = read(spark, d, "documents").withColumn("hay", F.lower(F.concat("source", F.lit(" "), "text")))
     rows = rows.withColumn("category", rules.cascade((F.col("source"), NAME_RULES), (F.col("hay"), TEXT_RULES), default="Other"))
     return rows.withColumn("section", rules.roll_up(F.col("category"), SECTIONS, F.col("hay"), SECTION_RULES, "Resources"))
 
@@ -225,6 +285,23 @@ def result_page(spark, d):
     return facets.page(rows, F.desc("n_chars"), F.col("doc_id"), number=3, size=12)
 
 
+@query("""SELECT "group", group_size, place::INTEGER AS place, o_orderkey FROM (SELECT o_orderkey, left(strftime(o_orderdate, '%Y'), 3) || '0s' AS "group", count(*) OVER (PARTITION BY left(strftime(o_orderdate, '%Y'), 3)) AS group_size,
+row_number() OVER (PARTITION BY left(strftime(o_orderdate, '%Y'), 3) ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 12""")
+def grouped_by_decade(spark, d):
+    rows = read(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy").alias("year"))
+    return facets.grouped(rows, "decade", F.desc("o_totalprice"), F.col("o_orderkey"), most=12).select("group", "group_size", "place", "o_orderkey")
+
+
+@query("""SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 40 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND 1990 + p_partkey % 30 BETWEEN 1995 AND 2010
+AND p_name IN (SELECT p_name FROM part WHERE p_size BETWEEN 5 AND 40 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND 1990 + p_partkey % 30 BETWEEN 1995 AND 2010 GROUP BY 1 HAVING count(DISTINCT p_type) > 1)
+AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30)""")
+def list_filters(spark, d):
+    rows = read(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("base_code"), F.col("p_brand").alias("item_code_family"), (F.col("p_size") * 1000).alias("bytes"),
+                                         (F.col("p_partkey") % 30 + 1990).cast("string").alias("year"), F.col("p_name").alias("translation_key"), F.col("p_type").alias("language"))
+    listed = read(spark, d, "lineitem").filter("l_quantity > 30").select(F.col("l_partkey").cast("string").alias("item_code"))
+    return facets.chosen(rows, families=["Brand#1", "Brand#2", "Brand#3"], bytes_from=5000, bytes_to=40000, years=(1995, 2010), translated_only=True, in_kits=listed).select("p_partkey")
+
+
 @query("SELECT o_orderstatus AS status, count(*) AS orders FROM orders WHERE o_orderdate::DATE >= DATE '1998-07-02' - INTERVAL 30 DAY GROUP BY 1")
 def recent_updates(spark, d):
     return facets.updated_since(read(spark, d, "orders"), "o_orderdate", "1998-07-02").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("orders"))
@@ -240,8 +317,6 @@ def translation_groups(spark, d):
 
 @query("SELECT source, lower(text) IS NULL AS empty, doc_id, row_number() OVER (ORDER BY source, lower(text), doc_id) AS id FROM documents")
 def doc_ids(spark, d):
-    from ..operators.common import dense_ids
-
     rows = read(spark, d, "documents").select("source", F.lower("text").alias("t"), "doc_id")
     return dense_ids(rows, F.col("source"), F.col("t"), F.col("doc_id")).select("source", F.col("t").isNull().alias("empty"), "doc_id", "id")
 
@@ -250,19 +325,18 @@ def doc_ids(spark, d):
   -len(list_intersect(list_distinct(regexp_extract_all(lower(path), '[a-z]{{4,}}')), list_distinct(regexp_extract_all(host, '[a-z]{{4,}}')))), length(path), url) AS r
   FROM (SELECT DISTINCT {_host('url')} AS host, {_path('url')} AS path, url FROM pages)) WHERE r = 1""")
 def best_source(spark, d):
-    rows = read(spark, d, "pages").groupBy(urls.host("url").alias("host")).agg(F.collect_set("url").alias("sources"))
-    return rows.select("host", catalog.best_source(F.col("sources"), F.col("host"), urls.path).alias("url"))
+    rows = read(spark, d, "pages").select(urls.host("url").alias("host"), "url")
+    return catalog.best_sources(rows, F.col("host"), urls.path, "host", "url").withColumnRenamed("source_page", "url")
 
 
 @query("""WITH r AS (SELECT 'https://x.org/' || c_mktsegment || '/' || c_custkey AS key, 'https://x.org/' || c_mktsegment || '/' || c_nationkey || '/' AS final_url FROM customer),
 f AS (SELECT *, lower(regexp_replace(final_url, '/+$', '')) AS final FROM r)
-SELECT final, arg_min(key, ((lower(key) <> final)::INTEGER, length(key), key)) AS key, count(*)::INTEGER AS folded FROM f GROUP BY 1""")
+SELECT final, arg_min(key, ((lower(key) <> final)::INTEGER, length(key), key)) AS key, count(*) AS folded FROM f GROUP BY 1""")
 def redirect_fold(spark, d):
     c = read(spark, d, "customer")
     at = lambda n: F.concat(F.lit("https://x.org/"), "c_mktsegment", F.lit("/"), F.col(n).cast("string"))
-    records = c.select(at("c_custkey").alias("key"), F.array().cast("array<string>").alias("candidates"), F.array("c_name").alias("sources"))
     heads = c.select(at("c_custkey").alias("key"), F.concat(at("c_nationkey"), F.lit("/")).alias("final_url"))
-    return catalog.fold_redirects(records, heads).select("final", "key", "folded")
+    return catalog.survivors(heads)[0]
 
 
 @query("""WITH s AS (SELECT CASE WHEN l.doc_id IS NULL THEN 'unreachable' WHEN l.quality = 1 THEN 'ok' ELSE 'not-a-pdf' END AS status, d.n_chars
@@ -288,6 +362,15 @@ def best_title(spark, d):
     return read(spark, d, "part").select("p_partkey", catalog.best_title(labels, name).alias("title"))
 
 
+@query("""SELECT p_partkey, p_partkey % 4 IN (1, 3) AS generic, p_partkey % 4 = 0 OR p_partkey % 4 = 1 AS button, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || substr(w, 2)), ' ') AS title FROM part""")
+def link_titles(spark, d):
+    """Labels that are buttons, generic words, a title or a decade, over the file's name."""
+    label = F.element_at(F.array(F.concat(F.lit("...Read the "), "p_name", F.lit(" letter")), F.lit("Ver este documento PDF"), F.concat(F.lit("| "), "p_name", F.lit(" [PDF 3 MB]")), F.lit("2020 - 2029")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    name = F.concat(F.lit("en_"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-final_12.PDF"))
+    rows = read(spark, d, "part").select("p_partkey", label.alias("label"), name.alias("name"))
+    return rows.select("p_partkey", codes.is_generic(F.col("label")).alias("generic"), codes.is_link_phrase(F.col("label")).alias("button"), catalog.best_title(F.array("label"), F.col("name")).alias("title"))
+
+
 # ------------------------------------------------------------------ scalars
 
 
@@ -310,6 +393,22 @@ def issue_keys(spark, d):
     return read(spark, d, "orders").select("o_orderkey", codes.translation_key(name, codes.item_code(name)["base"]).alias("translation_key"))
 
 
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'The Bulletin - ' || strftime(o_orderdate, '%B-%B %Y') WHEN 1 THEN 'The Bulletin - ' || strftime(o_orderdate, '%Y') WHEN 2 THEN 'The Bulletin - Conference ' || strftime(o_orderdate, '%Y') ELSE '' END AS title FROM orders""")
+def periodical_titles(spark, d):
+    mon, yy = F.lower(F.date_format("o_orderdate", "MMM")), F.date_format("o_orderdate", "yy")
+    names = [F.concat(F.lit("fr_bulletin_"), mon, F.lit("-"), mon, yy, F.lit(".pdf")), F.concat(F.lit("bulletin%20"), F.date_format("o_orderdate", "yyyy"), F.lit("_2.pdf")), F.concat(F.lit("bulletin_conference"), yy, F.lit(".PDF")), F.concat(F.lit("letter_"), mon, yy, F.lit(".pdf"))]
+    name = F.element_at(F.array(*names), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return read(spark, d, "orders").select("o_orderkey", codes.periodical_title(name, [("bulletin", "The Bulletin")]).alias("title"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 50 = p_size THEN [] ELSE ['P-' || p_partkey % 50] END || ['F-' || p_partkey % 900 + 100, 'M-' || p_size || 'I'] AS codes FROM part""")
+def listed_codes(spark, d):
+    n = lambda c: c.cast("string")
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("1. sp"), n(k % 50), F.lit(", SF-\n "), n(k % 900 + 100), F.lit("; P "), n(k % 50), F.lit(" and SM\u2013"), n(F.col("p_size")), F.lit("I. XP-7, P-1234, FF"), n(k % 900 + 100))
+    return read(spark, d, "part").select("p_partkey", codes.listed_codes(text, F.concat(F.lit("P-"), n(F.col("p_size")))).alias("codes"))
+
+
 @query("SELECT p_partkey, 'stem:' || regexp_replace(p_name || p_brand, '[^a-zA-Z0-9]+', '', 'g').lower() AS key FROM part")
 def kit_group_key(spark, d):
     name = F.concat(F.lit("en_"), "p_name", F.lit("-"), "p_brand", F.lit("_sp.PDF"))
@@ -388,7 +487,10 @@ def fingerprint(spark, d):
     return changes.fingerprint(read(spark, d, "pages"), "url", "page_id")
 
 
-@query()
+@query("""WITH h AS (SELECT sha256(l_orderkey || chr(9) || l_linenumber || chr(9) || strftime(l_shipdate, '%Y-%m-%d %H:%M:%S')) AS h FROM lineitem),
+p AS (SELECT ('0x' || substr(h, 1, 15))::BIGINT AS a, ('0x' || substr(h, 16, 15))::BIGINT AS b FROM h),
+g AS (SELECT (a % 4096) || ':' || count(*) || ':' || sum(a) || ':' || sum(b) AS t, count(*) AS n FROM p GROUP BY a % 4096)
+SELECT sha256(string_agg(t, chr(10) ORDER BY t)) AS fingerprint, sum(n)::BIGINT AS lines FROM g""")
 def fingerprint_buckets(spark, d):
     return changes.fingerprint_in_buckets(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber", "l_shipdate")
 
@@ -406,6 +508,32 @@ def crawl_decision(spark, d):
     return rows.select("n_nationkey", made.alias("x")).select("n_nationkey", "x.reason", "x.crawl")
 
 
+@query(f"""SELECT n_nationkey, 'should_crawl=' || CASE WHEN n_nationkey % 2 = 0 THEN 'true' ELSE 'false' END || chr(10) || 'reason: moved ' || lower(n_name) || CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE chr(10) || 'sitemap: ' || n_nationkey || ' urls, fingerprint ' || left(sha256(n_name), 16) END AS lines FROM nation""")
+def decision_lines(spark, d):
+    k = F.col("n_nationkey")
+    made = F.struct((k % 2 == 0).alias("crawl"), F.concat(F.lit(' "moved\n'), F.lower("n_name"), F.lit("$`")).alias("reason"))
+    seen = F.when(k % 3 != 0, F.sha2("n_name", 256))
+    return read(spark, d, "nation").select("n_nationkey", changes.decision_lines(made, seen, k).alias("lines"))
+
+
+@query("""WITH r AS (SELECT * FROM region WHERE r_name > 'AFRICA' AND r_name <> 'EUROPE'),
+i AS (SELECT r_name, n_nationkey, n_nationkey % 3 = 0 AS revised, n_name FROM nation JOIN r ON n_regionkey = r_regionkey),
+o AS (SELECT *, row_number() OVER (ORDER BY r_name DESC, revised, n_nationkey) AS p FROM i),
+t AS (SELECT count(*) FILTER (NOT revised) AS added, count(*) FILTER (revised) AS revised FROM i)
+SELECT added, revised, added || ' new documents and ' || revised || ' revised' AS headline,
+ (SELECT string_agg('N-' || n_nationkey || ' ' || n_name || CASE WHEN o.revised THEN ' (revised)' ELSE '' END, chr(10) ORDER BY p) FROM o WHERE p <= 3) || chr(10) || 'and ' || (added + t.revised - 3) || ' more' AS body,
+ (SELECT string_agg(n_name, ',' ORDER BY p) FROM o WHERE p <= 8) AS items FROM t""")
+def change_notice(spark, d):
+    """Regions as runs, their nations as documents; one run is a first one."""
+    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    old = F.col("n_nationkey") % 3 == 0
+    item = F.struct("n_nationkey", F.col("n_name").alias("title"), F.concat(F.lit("N-"), F.col("n_nationkey").cast("string")).alias("item_code"))
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.when(c, item))), lambda x: F.struct(x["title"].alias("title"), x["item_code"].alias("item_code")))
+    log = rows.groupBy(F.col("r_name").alias("generated_utc")).agg(F.count_if(~old).alias("added_count"), F.count_if(old).alias("revised_count"), listed(~old).alias("added"), listed(old).alias("revised"))
+    log = log.withColumn("first_run", F.col("generated_utc") == "EUROPE")
+    return changes.notices(log, "AFRICA").withColumn("items", F.array_join("items.title", ","))
+
+
 @query("""WITH f AS (SELECT * FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' AND event_type <> 'error')
 SELECT event_type, count(*) AS runs, round(sum(value), 2) AS total, max(ts) AS newest FROM f GROUP BY 1""")
 def new_since_cursor(spark, d):
@@ -445,6 +573,39 @@ def kit_coverage(spark, d):
     return kits.coverage(_items(spark, d), F.col("item_code").endswith("7")).withColumn("workbooks", F.array_join("workbooks", ","))
 
 
+#: Orders as kits, each in an edition for each return flag; a list's place is its order's.
+_EDITION = """e AS (SELECT l_orderkey // 8 AS kit_key, CASE l_returnflag WHEN 'N' THEN 'English' WHEN 'A' THEN 'Spanish' ELSE 'French' END AS language, l_orderkey, l_partkey, min(l_linenumber) AS first FROM lineitem GROUP BY ALL),
+c AS (SELECT kit_key, language, l_orderkey, count(*) AS n FROM e GROUP BY ALL HAVING count(*) >= 5),
+k AS (SELECT kit_key, language, max(l_orderkey) AS shown, min(l_orderkey) AS pos FROM c GROUP BY ALL),
+i AS (SELECT k.kit_key, k.language, l_partkey, row_number() OVER (PARTITION BY k.kit_key, k.language ORDER BY first, l_partkey::VARCHAR) AS item_order, p_size > 10 AS found
+  FROM k JOIN e ON e.kit_key = k.kit_key AND e.language = k.language AND e.l_orderkey = k.shown JOIN part ON l_partkey = p_partkey),
+o AS (SELECT kit_key, arg_min(language, (language <> 'English', pos, language)) AS language, array_to_string(list_sort(list(DISTINCT language)), ',') AS languages FROM k GROUP BY 1),
+s AS (SELECT o.kit_key, languages, count(*) AS items, count(*) FILTER (found) AS items_in_index, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY item_order) FILTER (l_partkey::VARCHAR LIKE '%7'), '') AS workbooks
+  FROM o JOIN i ON i.kit_key = o.kit_key AND i.language = o.language GROUP BY ALL)"""
+
+
+def _edition_summary(spark, d) -> tuple[DataFrame, DataFrame]:
+    language = F.when(F.col("l_returnflag") == "N", "English").when(F.col("l_returnflag") == "A", "Spanish").otherwise("French")
+    first = read(spark, d, "lineitem").groupBy("l_orderkey", language.alias("language"), "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    lists = first.groupBy("l_orderkey", "language").agg(F.sort_array(F.collect_list(F.struct("n", F.col("l_partkey").cast("string").alias("c"))))["c"].alias("codes"))
+    good, _ = kits.confirmed(lists)
+    made = good.select(F.floor(F.col("l_orderkey") / 8).alias("kit_key"), F.lit("").alias("name"), F.lit("").alias("category"), "language", "codes", F.lit("").alias("url"), F.col("l_orderkey").alias("pos"))
+    catalogue = read(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").cast("string").alias("base_code"))
+    shown = kits.assemble(made)
+    return kits.summary(shown, kits.items(shown, catalogue), F.col("item_code").endswith("7"))
+
+
+@query(f"WITH {_EDITION} SELECT * FROM s")
+def kit_summary(spark, d):
+    made = _edition_summary(spark, d)[0].select("kit_key", "languages", "items", "items_in_index", "workbooks")
+    return made.withColumns({c: F.array_join(c, ",") for c in ("languages", "workbooks")})
+
+
+@query(f"WITH {_EDITION} SELECT count(*) AS kits, (SELECT count(*) FROM i) AS rows, sum(items)::BIGINT AS total_items, sum(items_in_index)::BIGINT AS coverage FROM s")
+def kit_totals(spark, d):
+    return _edition_summary(spark, d)[1]
+
+
 @query(f"SELECT DISTINCT kit_key FROM ({_ITEMS}) WHERE item_code = '77'")
 def kits_containing(spark, d):
     return facets.kits_with(_items(spark, d), "77")
@@ -481,8 +642,7 @@ def fuzzy_search(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("files")
-    return os.path.join(top, "files", uuid.uuid4().hex)
+    return os.path.join(shared_folder(spark), "files", uuid.uuid4().hex)
 
 
 @query("SELECT p_partkey, p_name, nullif(p_brand, 'Brand#2') AS p_brand, p_retailprice FROM part")
@@ -513,4 +673,4 @@ def stream_new_runs(spark, d):
         runs.report_new(stream, f"{path}/out", f"{path}/state", "event_id", "first_run")
         rows.filter("event_id % 2 = 1").write.mode("overwrite").parquet(f"{path}/in/b")
     runs.report_new(runs.read_runs(spark, f"{path}/in/*", rows.schema.simpleString()[7:-1].replace(":", " ")), f"{path}/out", f"{path}/state", "event_id", "first_run")
-    return spark.read.parquet(f"{path}/out/*").dropDuplicates(["event_id"]).groupBy("event_type").agg(F.count("*").alias("runs"))
+    return spark.read.parquet(f"{path}/out/*").groupBy("event_type").agg(F.count("*").alias("runs"))

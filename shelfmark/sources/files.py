@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import urls
+
 #: The catalogue's columns: fixed values.
 CATALOGUE = T.StructType([T.StructField(n, T.LongType() if n in ("bytes",) else T.IntegerType() if n in ("id", "source_count") else T.StringType()) for n in (
     "id", "title", "summary", "url", "filename", "item_code", "base_code", "translation_key", "item_code_family", "category", "section", "language", "topics",
@@ -27,12 +29,15 @@ def sitemap_entries(maps: DataFrame, xml: str = "xml") -> DataFrame:
     return blocks.select(inner("loc").alias("loc"), inner("lastmod").alias("lastmod")).filter("loc <> ''")
 
 
-def seeds(index: DataFrame, maps: DataFrame, xml: str = "xml", url: str = "url") -> DataFrame:
-    """Distinct URLs of the sub-maps an index names; of the index itself if it names none."""
-    named = index.select(F.explode(sitemap_locations(F.col(xml))).alias(url)).filter(F.col(url).contains("sitemap"))
-    if named.isEmpty():
-        return index.select(F.explode(sitemap_locations(F.col(xml))).alias("loc")).distinct()
-    return maps.join(named, url, "left_semi").select(F.explode(sitemap_locations(F.col(xml))).alias("loc")).distinct()
+def seeds(index: DataFrame, maps: DataFrame, hosts: list[str] | None = None, xml: str = "xml", url: str = "url") -> DataFrame:
+    """Distinct URLs to begin a crawl at, in normal form: those of the sub-maps an index names, of the index if it names none.
+
+    URLs that may not be fetched (see :func:`urls.crawlable`) are left out.
+    """
+    named = index.select(F.explode(sitemap_locations(F.col(xml))).alias(url)).filter(F.col(url).contains("sitemap")).distinct()
+    texts = index if named.isEmpty() else maps.join(named, url, "left_semi")
+    found = texts.select(F.explode(sitemap_locations(F.col(xml))).alias("loc"))
+    return found.select(urls.normalize("loc").alias("loc")).filter(F.col("loc").isNotNull() & urls.crawlable("loc", hosts)).distinct()
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str = CATALOGUE) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+from ..workers import importable
+
 _TAG = r"(?is)<(?:a|iframe|embed|object|source)\b[^>]*>"
-_RAW = r"(?i)((?:https?:)?//[^\s\"'<>\\)]+?\.pdf(?:\?[^\s\"'<>\\)]*)?|/[^\s\"'<>\\)/][^\s\"'<>\\)]*?\.pdf(?:\?[^\s\"'<>\\)]*)?)"
+#: A document's URL in a page's source, with a host or from the root; a path that goes on from a word isn't one from the root.
+_STOP = r"[^\s\"'<>\\)]"
+_RAW = rf"(?iU)((?:https?:)?//{_STOP}+?\.pdf(?:\?{_STOP}*)?|(?<![\w.])/[\w\-./%]+?\.pdf(?:\?{_STOP}*)?)"
 
 
 def unescape(text: Column) -> Column:
@@ -32,7 +38,7 @@ def unescape_all(column: str) -> Column:
 
 def link_targets(html: Column) -> Column:
     """In document order, the first non-empty of href, src and data of each linking tag."""
-    attr = lambda t, name: F.regexp_extract(t, rf"(?is)\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    attr = lambda t, name: unescape(F.regexp_extract(t, rf"(?is)\s{name}\s*=\s*([\"'])(.*?)\1", 2))
     some = lambda c: F.when(F.trim(c) != "", c)
     tags = F.regexp_extract_all(html, F.lit(f"({_TAG})"), F.lit(1))
     return F.array_compact(F.transform(tags, lambda t: F.coalesce(*(some(attr(t, n)) for n in ("href", "src", "data")))))
@@ -43,10 +49,9 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     return pages.select(key, F.posexplode(link_targets(F.col(html))).alias("pos", "href"))
 
 
-def raw_documents(pages: DataFrame, key: str = "page_id", html: str = "html", decode: bool = True) -> DataFrame:
-    """key, pos, href of document URLs anywhere in the source, scripts included."""
-    text = unescape(F.col(html)) if decode else F.col(html)
-    return pages.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(_RAW), F.lit(1))).alias("pos", "href"))
+def raw_documents(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, pos, href of document URLs anywhere in the source, scripts included; entities stay."""
+    return pages.select(key, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(_RAW), F.lit(1))).alias("pos", "href"))
 
 
 def all_hits(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -54,10 +59,11 @@ def all_hits(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return links(pages, key, html).withColumn("raw", F.lit(False)).unionByName(raw_documents(pages, key, html).withColumn("raw", F.lit(True)))
 
 
-def page_title(html: Column) -> Column:
-    """First h1 if it has text, else the title, without tags, spaces collapsed."""
+def page_title(html: Column, suffix: str | None = None) -> Column:
+    """First h1 if it has text, else the title, without tags and the site's ``| suffix``, spaces collapsed."""
     inner = lambda tag: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"<[^>]*>", " "), r"\s+", " "))
-    return unescape(F.when(inner("h1") != "", inner("h1")).otherwise(inner("title")))
+    title = unescape(let(inner("h1"), lambda h: F.when(h != "", h).otherwise(inner("title"))))
+    return title if suffix is None else F.trim(F.regexp_replace(title, rf"\s*\|\s*{re.escape(suffix)}\s*$", ""))
 
 
 def description(html: Column, longest: int = 300) -> Column:
@@ -73,6 +79,7 @@ def candidates(pages: DataFrame, key: str = "page_id", html: str = "html", url_p
     or strong text in each of four ancestors. Needs the element tree, so pages are parsed
     in Arrow batches.
     """
+    importable(pages.sparkSession)
     base = pages.select(key, F.col(html).alias("_html"))
     kind = base.schema[key].dataType.simpleString()
 

@@ -1,7 +1,8 @@
 """News as a stream: new files are read once, and each run is reported once.
 
-The checkpoint is the cursor. It moves after a batch is written, so a failure repeats a
-batch; the sink is keyed by the run's stamp, so a repeat changes nothing.
+The checkpoint holds the cursor and the keys reported so far, dealt by key; a batch that is
+repeated after a failure sees the same keys and overwrites its own folder, so a repeat
+changes nothing and no batch reads what earlier ones wrote.
 """
 
 from __future__ import annotations
@@ -15,20 +16,12 @@ def read_runs(spark: SparkSession, path: str, schema: str, fmt: str = "parquet",
 
 
 def report_new(runs: DataFrame, out: str, checkpoint: str, key: str, first_run: str | None = None) -> None:
-    """Appends runs that ``out`` doesn't hold yet, for all files there are now, then stops."""
+    """Writes the runs not reported yet to ``out``, for all files there are now, then stops."""
+
+    fresh = runs if first_run is None else runs.filter(~F.coalesce(F.col(first_run), F.lit(False)))
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if first_run is None else batch.filter(~F.coalesce(F.col(first_run), F.lit(False)))
-        rows = rows.dropDuplicates([key])
-        try:
-            known = spark.read.parquet(f"{out}/*").select(key)
-        except Exception as e:  # noqa: BLE001  the sink doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            rows = rows.join(known, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
-
-    query = runs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    query = fresh.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -45,3 +45,28 @@ def test_changes_and_kits(spark):
     items = build.build_kits(good, texts, r"(?i)\bkit\b", "catalog").orderBy("item_order").collect()
     assert [(r.item_code, r.in_index) for r in items] == [("F-13", True), ("P-1", False), ("P-2", False), ("P-3", False), ("P-4", False)]
     assert items[0].kit_name == "Treatment Kit" and changes.history(spark.createDataFrame([("a",), ("b",)], "generated_utc string"), most=1).first()[0] == "b"
+
+
+def test_guards_and_publishing(spark, tmp_path):
+    import pytest
+
+    from shelfmark.operators.common import TooFewRows
+
+    index = spark.createDataFrame([("<loc>https://x.org/sitemap1.xml</loc>",)], "xml string")
+    text = "".join(f"<loc>https://X.org/p{i}#a</loc>" for i in range(60)) + "<loc>https://x.org/user/1</loc><loc>https://x.org/a.png</loc><loc>mailto:a@b.c</loc>"
+    maps = spark.createDataFrame([("https://x.org/sitemap1.xml", text)], "url string, xml string")
+    assert build.crawl_seeds(index, maps, "https://x.org/").count() == 61
+    with pytest.raises(TooFewRows):
+        build.crawl_seeds(index, maps.withColumn("xml", F.substring("xml", 1, 300)), "https://x.org/")
+    with pytest.raises(TooFewRows):
+        build.run(spark.createDataFrame([("https://x.org/", "<p>none</p>")], "url string, html string"), 2026)
+    pages, heads = spark.createDataFrame(PAGES, "url string, html string"), spark.createDataFrame([], "url string, final_url string, content_type string, bytes long, last_modified string")
+    with pytest.raises(TooFewRows):
+        build.run(pages, 2026, heads)
+    good, broken = build.run(pages, 2026)
+    state = spark.createDataFrame([("f", 60, "2026-01-01T00:00:00Z")], "sitemap_fingerprint string, sitemap_urls int, last_full_crawl_utc string")
+    build.publish(good, broken, state, str(tmp_path))
+    assert files.read_csv(spark, f"{tmp_path}/catalogue").count() == good.count() == 4
+    with pytest.raises(Exception):  # noqa: B017  a catalogue that can't be written leaves the state as it was
+        build.publish(good.withColumn("id", F.raise_error(F.lit("lost"))), broken, state.withColumn("sitemap_urls", F.lit(1)), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/state").first().sitemap_urls == 60
