@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from ..operators.common import shared_folder
+from ..workers import importable
 
 #: Rows of an Arrow batch where the session leaves Spark's default: texts are long.
 BATCH, DEFAULT_BATCH = "1000", "10000"
@@ -26,9 +25,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The named table, with this library importable on the Python workers."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == DEFAULT_BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), _ROOT]))
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -47,29 +44,40 @@ def gathered(df: DataFrame, rows: int | None) -> DataFrame:
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the checkpoint folder and read back, so its lineage ends here.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a local one is made only where
-    that setting is missing, as in tests. ``rows`` is a bound on the rows, if known.
+    ``rows`` is a bound on the rows, if known.
     """
     df = gathered(df, rows)
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files of what is run in here go once it has ended: what it wrote takes their place."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def table(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back.
 
-    Like :func:`cut`, in a compact format for results of many rows.
+    Like :func:`cut`, in a compact format for results of many rows; its shuffles leave no files.
     """
-    sc = df.sparkSession.sparkContext
-    top = sc.getConf().get("spark.checkpoint.dir")
-    if not top:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(tempfile.mkdtemp("checkpoints"))
-        top = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{top}/tables/{uuid.uuid4().hex}"
-    gathered(df, rows).write.parquet(path)
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    with _shuffles_end(df.sparkSession):
+        gathered(df, rows).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -297,6 +297,75 @@ def test_language_model_is_a_distribution(spark):
     assert lm.score(docs.limit(0), model).count() == 0
 
 
+def test_words_are_split_and_keyed():
+    texts = ["The cat sat\ton", None, "", "a" * 20 + " b" + "c" * 8 + " É x\x0by\r\n", "the cat", " \u00a0 ", "Ünï\ud800 the"]
+    t = lm.Tokens(texts)
+    want = [[w.encode("utf-8", "surrogatepass") for w in tokens(x)] for x in texts]
+    assert t.words(np.arange(len(t.key))).to_pylist() == [w for ws in want for w in ws] and t.count.tolist() == [len(ws) for ws in want]
+    rng = random.Random(3)
+    words = list({"".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(5000)})
+    many = lm.Tokens([" ".join(words + words)])
+    assert len(np.unique(many.key)) == len(words) + 1 and (many.key[: len(words)] == many.key[len(words) : -1]).all()
+
+
+@pytest.mark.parametrize("size", [10**9, 4000])
+def test_scores_by_the_seated_restaurants(spark, monkeypatch, size):
+    """Scores against the model's formulas in plain Python, with one bucket and with many and hot contexts."""
+    monkeypatch.setattr(lm, "BUCKET", size)
+    monkeypatch.setattr(lm, "CHUNK", size)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "of", *(f"w{int(rng.expovariate(0.03))}" for _ in range(3))]) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = lm.train(rows, F.col("doc_id") % 4 != 0)
+    assert (model.buckets > 3 and len(model.hot) >= 2) if size == 4000 else not len(model.hot)
+    count, pairs, follow = Counter(), Counter(), Counter()
+    for i, t in enumerate(texts):
+        if i % 4:
+            ws = [w.encode() for w in tokens(t)]
+            count.update(ws)
+            pairs.update(zip([b"", *ws], ws))
+            follow.update([b"", *ws[:-1]])
+    key = lambda w: lm.START_KEY if w == b"" else lm.END_KEY if w == b"\n" else lm.keys(np.frombuffer(w + b"\n" * 16, np.uint8), np.array([0]), np.array([len(w)]))[0]
+    names = {int(key(w)): w for w in [*count, b""]}
+    logs, own, back = {}, {}, {}
+    for r in model.held.collect():
+        a = np.array(r.a, np.int64)
+        if r.kind == lm.WORDS:
+            k, f = len(a) // 2, np.array(r.f).reshape(lm.SAMPLES, -1)
+            assert {names[int(h)]: n for h, n in zip(a[:k].view(np.uint64), a[k:], strict=True)} == {names[int(h)]: count[names[int(h)]] for h in a[:k].view(np.uint64)}
+            logs |= {names[int(h)]: f[:, j] for j, h in enumerate(a[:k].view(np.uint64))}
+        else:
+            k = len(a)
+            small = np.array(r.i[k:], np.int32).view(np.uint32)
+            context = np.repeat(a.view(np.uint64), r.i[:k])
+            own |= {(names[int(u)], int(s)): x for u, s, x in zip(context, small, r.f[: len(small)], strict=True)}
+            for j, u in enumerate(a.view(np.uint64)):
+                back[names[int(u)]] = np.array(r.f[len(small) :]).reshape(lm.SAMPLES, -1)[:, j]
+    for h, x in zip(model.hot, model.hot_back.T, strict=True):
+        back[names[int(h)]] = x
+    assert set(logs) == set(count) and len(own) == len(pairs) and set(back) == set(follow)
+    small = {w: int(key(w) >> np.uint64(32)) for w in count}
+    mass = Counter()
+    for (u, _), x in own.items():
+        mass[u] += x
+    assert all(mass[u] + back[u].mean() == pytest.approx(1, abs=1e-5) for u in back)
+    for r in lm.score(rows, model).collect():
+        total, before = 0.0, b""
+        for w in (w.encode() for w in tokens(texts[r.doc_id])):
+            parent = np.exp(logs[w] if w in logs else model.unseen([w])[:, 0])
+            total += math.log10(own.get((before, small.get(w)), 0.0) + (back.get(before, np.ones(lm.SAMPLES)) * parent).mean())
+            before = w
+        assert r.score == pytest.approx(total, rel=1e-4)
+
+
+def test_the_model_prefers_order_and_beats_the_base(spark):
+    got = lm.op10(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
+    docs = spark.createDataFrame([(i, "one two three four five") for i in range(20)] + [(90, "one two three four five"), (91, "three one five two four")], "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in lm.score(docs, lm.train(docs, F.col("doc_id") < 20)).collect()}
+    assert scores[90] > scores[91] + 3
+
+
 # ---------------------------------------------------------------- mixing
 
 
