@@ -70,15 +70,17 @@ def _shuffles_end(spark: SparkSession):
             spark.conf.set(_CLEANUP, before)
 
 
-def table(df: DataFrame, rows: int | None = None) -> DataFrame:
+def table(df: DataFrame, rows: int | None = None, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared checkpoint folder and read back.
 
-    Like :func:`cut`, in a compact format for results of many rows; its shuffles leave no files.
+    Like :func:`cut`, in a compact format for results of many rows; its shuffles leave no
+    files. ``by``: a column by whose few values the files are parted.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    writer = gathered(df, rows).write
     with _shuffles_end(df.sparkSession):
-        gathered(df, rows).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def crc_mod(doc_id: str, n: int):

@@ -301,7 +301,7 @@ def test_words_are_split_and_keyed():
     texts = ["The cat sat\ton", None, "", "a" * 20 + " b" + "c" * 8 + " É x\x0by\r\n", "the cat", " \u00a0 ", "Ünï\ud800 the"]
     t = lm.Tokens(texts)
     want = [[w.encode("utf-8", "surrogatepass") for w in tokens(x)] for x in texts]
-    assert t.words(np.arange(len(t.key))).to_pylist() == [w for ws in want for w in ws] and t.count.tolist() == [len(ws) for ws in want]
+    assert lm.cut_up(*t.words(np.arange(len(t.key)))) == [w for ws in want for w in ws] and t.count.tolist() == [len(ws) for ws in want]
     rng = random.Random(3)
     words = list({"".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(5000)})
     many = lm.Tokens([" ".join(words + words)])
@@ -328,19 +328,19 @@ def test_scores_by_the_seated_restaurants(spark, monkeypatch, size):
     key = lambda w: lm.START_KEY if w == b"" else lm.END_KEY if w == b"\n" else lm.keys(np.frombuffer(w + b"\n" * 16, np.uint8), np.array([0]), np.array([len(w)]))[0]
     names = {int(key(w)): w for w in [*count, b""]}
     logs, own, back = {}, {}, {}
-    for r in model.held.collect():
-        a = np.array(r.a, np.int64)
+    for r in lm.received(model.held.toArrow()):
+        a = r.a
         if r.kind == lm.WORDS:
-            k, f = len(a) // 2, np.array(r.f).reshape(lm.SAMPLES, -1)
+            k, f = len(a) // 2, r.f.reshape(lm.SAMPLES, -1)
             assert {names[int(h)]: n for h, n in zip(a[:k].view(np.uint64), a[k:], strict=True)} == {names[int(h)]: count[names[int(h)]] for h in a[:k].view(np.uint64)}
             logs |= {names[int(h)]: f[:, j] for j, h in enumerate(a[:k].view(np.uint64))}
         else:
             k = len(a)
-            small = np.array(r.i[k:], np.int32).view(np.uint32)
+            small = r.i[k:].view(np.uint32)
             context = np.repeat(a.view(np.uint64), r.i[:k])
             own |= {(names[int(u)], int(s)): x for u, s, x in zip(context, small, r.f[: len(small)], strict=True)}
             for j, u in enumerate(a.view(np.uint64)):
-                back[names[int(u)]] = np.array(r.f[len(small) :]).reshape(lm.SAMPLES, -1)[:, j]
+                back[names[int(u)]] = r.f[len(small) :].reshape(lm.SAMPLES, -1)[:, j]
     for h, x in zip(model.hot, model.hot_back.T, strict=True):
         back[names[int(h)]] = x
     assert set(logs) == set(count) and len(own) == len(pairs) and set(back) == set(follow)
