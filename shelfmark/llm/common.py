@@ -179,3 +179,54 @@ def fold_table() -> np.ndarray:
                 table[c] = ord(low) if len(low := ch.lower()) == 1 else c
         _FOLD = table
     return _FOLD
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted keys, a place of each, which of them each place has, and how often each comes."""
+    order = np.argsort(keys)
+    held = keys[order]
+    first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
+    n = np.diff(np.r_[first, len(held)])
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.repeat(np.arange(len(first)), n)
+    return held[first], order[first], of, n
+
+
+class Index:
+    """Places of 64-bit keys, by open addressing."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.key = keys.astype(np.uint64)
+        self.bits = max(4, int(len(keys) * 8).bit_length())
+        self.slot, self.probes = np.full(1 << self.bits, -1, np.int32), 1
+        for i, k in enumerate(self._start(self.key).tolist()):
+            probes = 1
+            while self.slot[k] >= 0:
+                k, probes = (k + 1) & (len(self.slot) - 1), probes + 1
+            self.slot[k], self.probes = i, max(self.probes, probes)
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        keys = keys.view(np.uint64) if keys.dtype == np.int64 else keys
+        out, open_ = np.full(len(keys), -1, np.int32), np.arange(len(keys))
+        if not len(self.key):
+            return out
+        at = self._start(keys)
+        for _ in range(self.probes):
+            got = self.slot[at]
+            hit = (got >= 0) & (self.key[got] == keys[open_])
+            out[open_[hit]] = got[hit]
+            on = (got >= 0) & ~hit
+            open_, at = open_[on], (at[on] + 1) & (len(self.slot) - 1)
+        return out
+
+
+def remove(rows: DataFrame) -> None:
+    """Deletes the files of a table of :func:`table` that nothing reads any more."""
+    session = rows.sparkSession
+    for f in {name.rsplit("/tables/", 1)[0] + "/tables/" + name.rsplit("/tables/", 1)[1].split("/")[0] for name in rows.inputFiles() if "/tables/" in name}:
+        path = session._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -138,25 +138,7 @@ class Lattice:
         for k in range(int(sizes.max(initial=0))):
             more = np.flatnonzero(sizes > k)
             keys[more] = grown(keys[more], points[first[more] + k])
-        self.bits = max(4, int(len(starts) * 8).bit_length())
-        self.slot, self.key, self.probes = np.full(1 << self.bits, -1, np.int32), keys, 1
-        for i, k in enumerate((keys >> np.uint64(64 - self.bits)).astype(np.int64).tolist()):
-            probes = 1
-            while self.slot[k] >= 0:
-                k, probes = (k + 1) & (len(self.slot) - 1), probes + 1
-            self.slot[k], self.probes = i, max(self.probes, probes)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of the beginning with each key, or -1."""
-        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        out, open_ = np.full(len(keys), -1, np.int32), np.arange(len(keys))
-        for _ in range(self.probes):
-            got = self.slot[at]
-            hit = (got >= 0) & (self.key[got] == keys[open_])
-            out[open_[hit]] = got[hit]
-            on = (got >= 0) & ~hit
-            open_, at = open_[on], (at[on] + 1) & (len(self.slot) - 1)
-        return out
+        self.starts = common.Index(keys)
 
     def edges(self, points: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first character, characters, piece) of the edges; piece -1 is a spelled character."""
@@ -166,7 +148,7 @@ class Lattice:
             on = left[at] >= size
             at = at[on]
             key = grown(key[on], points[at + size - 1])
-            start = self.find(key)
+            start = self.starts.find(key)
             piece = np.where(start >= 0, self.piece[start], -1)
             hit = np.flatnonzero((piece >= 0) | (size == 1))
             out.append((at[hit], np.full(len(hit), size), piece[hit]))

@@ -331,29 +331,29 @@ def test_scores_by_the_seated_restaurants(spark, monkeypatch, size):
     for r in lm.received(model.held.toArrow()):
         a = r.a
         if r.kind == lm.WORDS:
-            k, f = len(a) // 2, r.f.reshape(lm.SAMPLES, -1)
+            k, f = len(a) // 2, r.f
             assert {names[int(h)]: n for h, n in zip(a[:k].view(np.uint64), a[k:], strict=True)} == {names[int(h)]: count[names[int(h)]] for h in a[:k].view(np.uint64)}
-            logs |= {names[int(h)]: f[:, j] for j, h in enumerate(a[:k].view(np.uint64))}
+            logs |= {names[int(h)]: f[j] for j, h in enumerate(a[:k].view(np.uint64))}
         else:
             k = len(a)
             small = r.i[k:].view(np.uint32)
             context = np.repeat(a.view(np.uint64), r.i[:k])
             own |= {(names[int(u)], int(s)): x for u, s, x in zip(context, small, r.f[: len(small)], strict=True)}
             for j, u in enumerate(a.view(np.uint64)):
-                back[names[int(u)]] = r.f[len(small) :].reshape(lm.SAMPLES, -1)[:, j]
-    for h, x in zip(model.hot, model.hot_back.T, strict=True):
+                back[names[int(u)]] = r.f[len(small) :][j]
+    for h, x in zip(model.hot, model.hot_back, strict=True):
         back[names[int(h)]] = x
     assert set(logs) == set(count) and len(own) == len(pairs) and set(back) == set(follow)
     small = {w: int(key(w) >> np.uint64(32)) for w in count}
     mass = Counter()
     for (u, _), x in own.items():
         mass[u] += x
-    assert all(mass[u] + back[u].mean() == pytest.approx(1, abs=1e-5) for u in back)
+    assert all(mass[u] + back[u] == pytest.approx(1, abs=1e-5) for u in back)
     for r in lm.score(rows, model).collect():
         total, before = 0.0, b""
         for w in (w.encode() for w in tokens(texts[r.doc_id])):
-            parent = np.exp(logs[w] if w in logs else model.unseen([w])[:, 0])
-            total += math.log10(own.get((before, small.get(w)), 0.0) + (back.get(before, np.ones(lm.SAMPLES)) * parent).mean())
+            parent = np.exp(logs[w] if w in logs else model.unseen([w])[0])
+            total += math.log10(own.get((before, small.get(w)), 0.0) + back.get(before, 1.0) * parent)
             before = w
         assert r.score == pytest.approx(total, rel=1e-4)
 
