@@ -74,12 +74,15 @@ def table(df: DataFrame, rows: int | None = None, by: str | None = None) -> Data
     """``df`` written as a table in the shared checkpoint folder and read back.
 
     Like :func:`cut`, in a compact format for results of many rows; its shuffles leave no
-    files. ``by``: a column by whose few values the files are parted.
+    files. ``by``: a column by whose few values the files are parted, for rows of long byte
+    arrays, which are written as they come.
     """
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     writer = gathered(df, rows).write
+    if by:
+        writer = writer.partitionBy(by).options(**{"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"})
     with _shuffles_end(df.sparkSession):
-        (writer.partitionBy(by) if by else writer).parquet(path)
+        writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
