@@ -80,7 +80,7 @@ def table(df: DataFrame, rows: int | None = None, by: str | None = None) -> Data
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     writer = gathered(df, rows).write
     if by:
-        writer = writer.partitionBy(by).options(**{"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"})
+        writer = writer.partitionBy(by).options(**{"parquet.enable.dictionary": "false", "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "compression": "zstd"})
     with _shuffles_end(df.sparkSession):
         writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
@@ -227,9 +227,9 @@ class Index:
         return out
 
 
-def remove(rows: DataFrame) -> None:
-    """Deletes the files of a table of :func:`table` that nothing reads any more."""
+def remove(rows: DataFrame, part: str = "") -> None:
+    """Deletes the files of a table of :func:`table` that nothing reads any more, or a folder ``part`` of them."""
     session = rows.sparkSession
     for f in {name.rsplit("/tables/", 1)[0] + "/tables/" + name.rsplit("/tables/", 1)[1].split("/")[0] for name in rows.inputFiles() if "/tables/" in name}:
-        path = session._jvm.org.apache.hadoop.fs.Path(f)
+        path = session._jvm.org.apache.hadoop.fs.Path(f"{f}/{part}" if part else f)
         path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
