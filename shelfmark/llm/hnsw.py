@@ -1,23 +1,27 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs.
 
-Vectors of one label are dealt into shards of bounded size. A task holds one shard and one
-block of the label's vectors: it builds the shard's graph, layer by layer, and searches it
-for every vector of the block, so each vector queries every shard of its label. From the
-beam's links a flood over the bottom layer, along links and against them, gathers the rest of a dense neighbourhood. A
-sample of the queries is compared with a full scan of the shard, and the beam is doubled
-until the audit passes (at the shard's size the scan takes over, so it always does). Links
-are verified by cosine in double precision. Tasks return a count for each vector and a
-spanning forest of their links; components are the union of the forests.
+Vectors of one label are dealt into shards of bounded size, and each shard's graph is built
+once, layer by layer, and written. A task holds two shards of a label (or one twice): it
+searches either's graph for every vector of the other, so each vector queries every shard of
+its label, and a link found from one end counts at both. From the beam's links a flood over
+the bottom layer, along links and against them, gathers the rest of a dense neighbourhood.
+Some queries are compared with a full scan of the shard, and the beam is doubled until the
+mean recall of spread and that of dense queries passes (at the shard's size the scan takes
+over, so it always does); :func:`audits` returns both. Links are verified by cosine in double
+precision. Tasks return a count for each vector and a spanning forest of their links;
+components are the union of the forests.
 
 Defined cases: a null label, or a vector that is null, empty, zero or holds null or
 non-finite components, links with nothing and is kept as its own component; equal vectors
 of one label are searched once and count as links of each other; vectors of different
-lengths have no links; repeated rows each get the row of their id; an empty table gives
+lengths have no links; repeated rows count once and each get the row of their id; an empty table gives
 no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -196,91 +200,128 @@ class Graph:
         return np.concatenate(found)
 
 
-def linked(data: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM) -> list[np.ndarray]:
-    """For each query the places of ``data`` with cosine of at least ``threshold``."""
-    unit = lambda v: v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
-    d, q = unit(data), unit(queries)
-    small = q.astype(np.float32)
-    graph = Graph(d.astype(np.float32))
-    pick = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
+def unit(v: np.ndarray) -> np.ndarray:
+    return v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
+
+
+class Shard:
+    """The vectors of a shard, in double precision and unit length, and their graph."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, x: np.ndarray) -> None:
+        self.ids, self.n, self.x = ids, n, unit(x)
+        self.graph = Graph(self.x.astype(np.float32))
+
+    def linked(self, queries: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[list[np.ndarray], int, float]:
+        """For each query (of unit length) the places with cosine of at least ``threshold``; the beam and the recall it had."""
+        q, own = queries.astype(np.float32), queries is self.x
+        spread = np.unique(np.linspace(0, len(q) - 1, AUDIT).astype(int))
+
+        def verified(found: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
+            return [f[self.x[f] @ v >= threshold] if len(f) else f for f, v in zip(found, of, strict=True)]
+
+        def recall(found: list[np.ndarray], at: np.ndarray) -> float:
+            """Mean share of a query's links that were found, over the queries ``at`` that have any."""
+            truth = [np.flatnonzero(self.x @ queries[i] >= threshold) for i in at]
+            shares = [len(np.intersect1d(found[i], t)) / len(t) for i, t in zip(at, truth, strict=True) if len(t)]
+            return float(np.mean(shares)) if shares else 1.0
+
+        while True:
+            found = verified(self.graph.near(q, threshold - SLACK, beam, own), queries)
+            dense = np.argsort([-len(f) for f in found], kind="stable")[: AUDIT // 4]
+            least = min(recall(found, spread), recall(found, dense))
+            if least >= RECALL or beam >= len(self.x):
+                return found, beam, least
+            beam *= 2
+
+
+def both_ways(rows: list[np.ndarray], columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the links found from the rows' end or the columns', each once."""
+    flat = lambda found: (np.repeat(np.arange(len(found)), [len(f) for f in found]), np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64))
+    (a, b), (d, c) = flat(rows), flat(columns)
+    width = max(1, len(columns))
+    pairs = np.unique(np.concatenate([a * width + b, c * width + d]))
+    return pairs // width, pairs % width
 
-    def verified(found: list[np.ndarray], of: np.ndarray) -> list[np.ndarray]:
-        return [f[d[f] @ v >= threshold] if len(f) else f for f, v in zip(found, of, strict=True)]
 
+def _joined(nodes: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """(node, root) of a spanning forest of the links between ``nodes[a]`` and ``nodes[b]``; a root is its tree's smallest."""
+    low = nodes.copy()
     while True:
-        found = graph.near(small, threshold - SLACK, beam, data is queries)
-        dense = np.argsort([-len(f) for f in found], kind="stable")[: AUDIT // 4]
-        audit = np.unique(np.concatenate([pick, dense]))
-        truth = verified([np.flatnonzero(d.astype(np.float32) @ small[i] >= threshold - SLACK) for i in audit], q[audit])
-        got = verified([found[i] for i in audit], q[audit])
-        total = sum(map(len, truth))
-        if sum(map(len, got)) >= RECALL * total or beam >= len(d):
-            return both_ways(verified(found, q)) if data is queries else verified(found, q)
-        beam *= 2
+        least = np.minimum(low[a], low[b])
+        if (low[a] == least).all() and (low[b] == least).all():
+            return [(int(x), int(y)) for x, y in zip(nodes, low, strict=True) if x != y]
+        np.minimum.at(low, a, least)
+        np.minimum.at(low, b, least)
 
 
-def both_ways(found: list[np.ndarray]) -> list[np.ndarray]:
-    """A link found from one end belongs to both ends."""
-    a = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    b = np.concatenate(found) if found else a
-    pairs = np.unique(np.concatenate([a * len(found) + b, b * len(found) + a]))
-    return np.split(pairs % max(1, len(found)), np.searchsorted(pairs // max(1, len(found)), np.arange(1, len(found))))
+_FOUND = "node long, links long, root long, label string, s int, b int, beam int, recall double"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per input row."""
+def _usable(vectors: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """id, k, label, x, usable: ``k`` names equal vectors of a label."""
     x = F.col("x")
     rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("x"))
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     # null and unusable vectors get a key of their own, so they never pile up under one
-    usable = F.coalesce(good & F.col("label").isNotNull(), F.lit(False))
-    rows = rows.withColumn("k", F.when(usable, F.sha2(F.to_json(F.struct("label", "x")), 256)).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
-    reps = rows.filter(usable).groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("x").alias("x"))
-    n = vectors.count()
+    rows = rows.withColumn("usable", F.coalesce(good & F.col("label").isNotNull(), F.lit(False)))
+    return rows.withColumn("k", F.when(F.col("usable"), F.sha2(F.to_json(F.struct("label", "x")), 256)).otherwise(F.concat(F.lit("-"), F.col("id").cast("string"))))
+
+
+def _search(rows: DataFrame, threshold: float, shard: int, n: int) -> tuple[DataFrame, DataFrame]:
+    """The different vectors (k, rep, n), and what the tasks found (rows of _FOUND)."""
+    rows = rows.filter("usable")
+    ids = rows.select("k", "id").distinct().groupBy("k").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    reps = rows.groupBy("k").agg(F.first("label").alias("label"), F.first("x").alias("x")).join(ids, "k")
     reps = common.table(reps.withColumn("dim", F.size("x")), n * 8)
-    sizes = reps.groupBy("label", "dim").count().filter(F.col("count") > shard)
-    sizes = sizes.select("label", "dim", F.ceil(F.col("count") / shard).cast("int").alias("shards"))
-    dealt = reps.join(sizes, ["label", "dim"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    left = dealt.select("label", "dim", F.col("own").alias("s"), every.alias("b"), "rep", "n", "x")
-    right = dealt.select(every.alias("s"), F.col("own").alias("b"), *(F.col(c).alias(c) for c in ("label", "dim", "rep", "n", "x")))
-
-    def run(data: pa.Table, asked: pa.Table) -> pa.Table:
-        data, asked = data.sort_by("rep"), asked.sort_by("rep")
-        ids, own, n = data.column("rep").to_numpy(), asked.column("rep").to_numpy(), data.column("n").to_numpy()
-        if not len(ids) or not len(own):
-            return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-        mat = lambda t: t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        x = mat(data)
-        found = linked(x, x if np.array_equal(ids, own) else mat(asked), threshold)
-        links, root = np.zeros(len(own), np.int64), {int(i): int(i) for i in (*ids, *own)}
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for j, f in enumerate(found):
-            f = f[ids[f] != own[j]]
-            links[j] = n[f].sum()
-            a = top(int(own[j]))
-            for i in ids[f].tolist():
-                if (b := top(i)) != a:
-                    a, b = min(a, b), max(a, b)
-                    root[b] = a
-        ties = [(i, r) for i in root if (r := top(i)) != i]
-        return pa.table({
-            "node": pa.array([*own.tolist(), *(i for i, _ in ties)], pa.int64()),
-            "links": pa.array([*links.tolist(), *[0] * len(ties)], pa.int64()),
-            "root": pa.array([*[None] * len(own), *(r for _, r in ties)], pa.int64()),
-        })
+    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"))
+    dealt = reps.join(sizes, ["label", "dim"]).withColumn("s", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def build(data: pa.Table) -> pa.Table:
+        data = data.sort_by("rep").combine_chunks()
+        x = data.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(data.num_rows, -1)
+        made = pickle.dumps(Shard(data.column("rep").to_numpy(), data.column("n").to_numpy(), x), protocol=5)
+        return pa.table([*(data.column(c).slice(0, 1) for c in ("label", "dim", "s", "shards")), pa.array([made], pa.binary())], ["label", "dim", "s", "shards", "g"])
+
+    graphs = dealt.select("label", "dim", "s", "shards", "rep", "n", "x").groupBy("label", "dim", "s").applyInArrow(build, f"label {kind}, dim int, s int, shards int, g binary")
+    graphs = common.table(graphs)
+    left = graphs.select("label", "dim", "s", F.explode(F.sequence("s", F.col("shards") - 1)).alias("b"), "g")
+    right = graphs.select("label", "dim", F.explode(F.sequence(F.lit(0), "s")).alias("o"), F.col("s").alias("b"), "g").withColumnRenamed("o", "s")
+
+    def run(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        label, _, s, b = (k.as_py() for k in key)
+        p = pickle.loads(one.column("g")[0].as_buffer())
+        q = p if s == b else pickle.loads(two.column("g")[0].as_buffer())
+        there, beam, least = p.linked(q.x, threshold)  # q's vectors in p's graph
+        back, wide, low = (there, beam, least) if q is p else q.linked(p.x, threshold)
+        i, j = both_ways(back, there)  # of p and of q
+        other = p.ids[i] != q.ids[j]
+        i, j = i[other], j[other]
+        counts = [(p.ids, np.bincount(i, q.n[j], len(p.ids)))] + ([] if q is p else [(q.ids, np.bincount(j, p.n[i], len(q.ids)))])
+        nodes = np.unique(np.concatenate([p.ids, q.ids]))
+        forest = _joined(nodes, np.searchsorted(nodes, p.ids[i]), np.searchsorted(nodes, q.ids[j]))
+        rows = [(x, m, None, None) for ids, c in counts for x, m in zip(ids.tolist(), c.astype(np.int64).tolist(), strict=True)]
+        rows += [(x, 0, r, None) for x, r in forest] + [(None, 0, None, (str(label), s, b, max(beam, wide), min(least, low)))]
+        columns = [[r[k] for r in rows] for k in range(3)] + [[r[3] and r[3][k] for r in rows] for k in range(5)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
 
     keys = ("label", "dim", "s", "b")
-    found = common.cut(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "node long, links long, root long"), n)
+    return reps, common.table(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, _FOUND), n)
+
+
+def audits(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
+    """label, s, b, beam, recall: for each two shards of a label the widest beam and the lowest recall of the audits."""
+    found = _search(_usable(vectors, key, vector, label), threshold, shard, vectors.count())[1]
+    return found.filter("node is null").select("label", "s", "b", "beam", "recall")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard: int = SHARD) -> DataFrame:
+    """vec_id, n_links, component_id, kept: one row per input row."""
+    rows, n = _usable(vectors, key, vector, label), vectors.count()
+    reps, found = _search(rows, threshold, shard, n)
     groups = components(found.filter("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")), rows=n)
-    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    counts = found.filter("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
     known = reps.select("k", "rep", "n").join(counts, counts["node"] == reps["rep"], "left").drop("node")
     known = common.cut(known.join(groups, groups["node"] == F.col("rep"), "left").select("k", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), n)
     out = rows.select("id", "k").join(known, "k", "left")
@@ -306,7 +347,7 @@ l AS (
 r(node, reached) AS (
   SELECT a, a FROM (SELECT DISTINCT a FROM l) UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
 c AS (SELECT node, min(reached) AS component FROM r GROUP BY node),
-n AS (SELECT a, count(*) AS links FROM l GROUP BY a)
+n AS (SELECT a, count(DISTINCT b) AS links FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, coalesce(c.component, e.vec_id) AS component_id,
        coalesce(c.component, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.node = e.vec_id

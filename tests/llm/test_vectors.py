@@ -56,11 +56,11 @@ def brute(data, least):
 @pytest.mark.parametrize("shard", [16_384, 40])
 def test_near_duplicates(spark, shard):
     data = rows()
-    once = data[:-1]
-    links, comp = brute(once, 0.98)
-    got = {r.vec_id: r for r in hnsw.near_duplicates(spark.createDataFrame(once, SCHEMA), shard=shard).collect()}
-    assert len(got) == len(once)
-    for r in once:
+    links, comp = brute(data[:-1], 0.98)
+    made = hnsw.near_duplicates(spark.createDataFrame(data, SCHEMA), shard=shard).collect()
+    got = {r.vec_id: r for r in made}
+    assert len(made) == len(data) and made.count(got[data[-1][0]]) == 2  # a repeated row counts once and comes twice
+    for r in data:
         assert (got[r[0]].n_links, got[r[0]].component_id, got[r[0]].kept) == (links[r[0]], comp[r[0]], comp[r[0]] == r[0])
 
 
@@ -72,10 +72,35 @@ def test_near_duplicates_edges(spark):
 def test_dense_cluster_keeps_every_link():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=32) + rng.normal(scale=0.02, size=(700, 32)), rng.normal(size=(900, 32))])
-    found = hnsw.linked(x, x, 0.98)
+    shard = hnsw.Shard(np.arange(len(x)), np.ones(len(x), int), x)
+    found, _, recall = shard.linked(shard.x, 0.98)
+    a, _ = hnsw.both_ways(found, found)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     truth = (u @ u.T >= 0.98).sum(1)
-    assert [len(f) for f in found] == truth.tolist()
+    assert recall >= hnsw.RECALL and np.bincount(a, minlength=len(x)).tolist() == truth.tolist()
+
+
+def test_links_between_shards_count_at_both_ends(spark):
+    """Groups of near copies over several shards: every count and component, and the audits' recall."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(scale=s, size=(n, 16)) for n, s in [(2, 0.03)] * 300 + [(30, 0.06)] * 20 + [(900, 0.08)]] + [rng.normal(size=(1500, 16))]).astype(np.float32)
+    data = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.98
+    frame = spark.createDataFrame(data, SCHEMA)
+    got = {r.vec_id: r for r in hnsw.near_duplicates(frame, shard=1000).collect()}
+    links = near.sum(1) - 1
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= links).all() and found.sum() >= hnsw.RECALL * links.sum()
+    told = hnsw.audits(frame, shard=1000).collect()
+    assert len(told) == 10 and min(r.recall for r in told) >= hnsw.RECALL
+    low = np.arange(len(x))
+    while True:
+        least = np.array([low[n].min() for n in near])
+        if (least == low).all():
+            break
+        low = least
+    assert sum(got[i].component_id != low[i] for i in range(len(x))) <= 0.001 * len(x)
 
 
 @pytest.mark.parametrize(("block_rows", "block_queries"), [(16_384, 4096), (50, 7)])
