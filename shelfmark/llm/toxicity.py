@@ -5,9 +5,10 @@ decay for every place that the subsequence spans, so an insult with inserted, dr
 gapped characters stays close to the plain one. Nyström landmarks (words that together
 cover the toxic training rows, and common words of the others) turn the kernel into a short
 feature vector, and a linear machine with squared hinge loss is trained on the words of
-labelled sentences. Sentences inherit their row's label; as one insult makes a sentence
-toxic, the machine is trained in rounds, each toxic row speaking through its highest word
-and clean rows through the words that come highest (a multi-instance machine). A row's
+labelled sentences. Sentences inherit their row's label, and each counts once, whatever the
+copies of its row; as one insult makes a sentence toxic, the machine is trained in rounds,
+each toxic row speaking through its highest word that a landmark stands for and clean rows
+through the words that come highest (a multi-instance machine). A row's
 margin is the highest of all its words, and a sigmoid fitted on rows kept out of the
 training turns it into a score.
 
@@ -37,10 +38,14 @@ TOXIC_ROWS, CLEAN_ROWS, MOST_CHARS = 1200, 2400, 8_000_000
 LENGTH, DECAY, WIDTH, TOXIC_MARKS, CLEAN_MARKS = 3, 0.6, 10, 28, 6
 #: Letters in a window of a long word; words a worker remembers; score from which a text is toxic.
 WINDOW, REMEMBERED, TOXIC_FROM = 24, 500_000, 0.7
-#: Weight of the hinge losses against the ridge.
-COST = 4000.0
+#: Weight of the hinge losses against the ridge; of clean rows against toxic ones.
+COST, CLEAN_COST = 4000.0, 2.0
 #: Kernel from which a landmark stands for a word; landmarks that should stand for words of each toxic row.
 ALIKE, COVER = 0.6, 6
+#: Standard deviations by which a landmark's toxic sentences exceed chance.
+SIGMAS = 3.0
+#: Kernel with a landmark from which a word may speak for its toxic row.
+STANDS = 0.4
 #: Margins beyond these don't move the sigmoid.
 CLIP = (-1.0, 1.5)
 #: Margin of a text without words.
@@ -226,13 +231,28 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, text:
     return fit(sample(docs, labels, where, text, key, label))
 
 
-def _landmarks(bags: list[set[str]], y: np.ndarray) -> tuple[list[str], list[str]]:
-    """Words that cover the toxic rows and hardly appear elsewhere; common words of the others."""
-    df = [Counter(), Counter()]
-    for bag, label in zip(bags, y, strict=True):
-        df[label].update(w for w in bag if LENGTH < len(w) <= WIDTH)
-    total = np.bincount(y, minlength=2)
-    fit_ = {w for w, n in df[1].items() if n >= 3 and n / total[1] > 20 * (df[0][w] + 0.1) / total[0]}
+def _landmarks(sentences: list[list[tuple]], y: np.ndarray) -> tuple[list[str], list[str]]:
+    """Words that cover the toxic rows and hardly appear elsewhere; common words of the others.
+
+    A sentence counts once however many rows have it, so that copies of a row don't make its
+    words telling; one that a clean row has is clean.
+    """
+    label_of: dict[tuple, int] = {}
+    for row, label in zip(sentences, y, strict=True):
+        for words in row:
+            label_of[words] = min(label_of.get(words, 1), int(label))
+    df, beside = [Counter(), Counter()], defaultdict(set)
+    for words, label in label_of.items():
+        df[label].update(w for w in set(words) if LENGTH < len(w) <= WIDTH)
+        if label:
+            for before, w, after in zip(("", *words), words, (*words[1:], ""), strict=False):
+                beside[w].add((before, after))
+    # edits of one text keep a word's neighbours: as many places as it has neighbours
+    df[1] = Counter({w: min(n, len(beside[w])) for w, n in df[1].items()})
+    bags = [set().union(*row) for row in sentences]
+    total = [max(1, sum(1 for v in label_of.values() if v == k)) for k in (0, 1)]
+    sure = lambda n: n - SIGMAS * np.sqrt(n)  # noqa: E731  of so many, what isn't chance
+    fit_ = {w for w, n in df[1].items() if sure(n) / total[1] > 20 * (df[0][w] + 0.5) / total[0]}
     words = sorted(fit_, key=lambda w: (-df[1][w], w))[:600]
     codes = encode(words, WIDTH, -2)
     alike = similar(words, codes, own(np.where(codes == -2, -1, codes))) >= ALIKE
@@ -287,11 +307,11 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 3) -> Model |
     held = rng.random(len(rows)) < 0.25
     if min(np.bincount(y[~held], minlength=2)) == 0 or min(np.bincount(y[held], minlength=2)) == 0:
         held[:] = False
-    bags = []
-    for text, _ in rows:
-        bags.append({u for s in _SENTENCE.split(text) for t in tokens(s) if len(u := unit(t)) >= LENGTH})
+    # a row's sentences, as the words of each; a spelled-out word may run over a sentence's end
+    sentences = [[tuple(u for t in tokens(s) if len(u := unit(t)) >= LENGTH) for s in [*_SENTENCE.split(text), *(m[0] for m in _SPELLED.finditer(text))]] for text, _ in rows]
+    bags = [set().union(*row) for row in sentences]
     learn = np.flatnonzero(~held)
-    toxic, clean = _landmarks([bags[i] for i in learn], y[learn])
+    toxic, clean = _landmarks([sentences[i] for i in learn], y[learn])
     if not toxic:
         return None
     marks = encode([*toxic, *clean], WIDTH, -2)
@@ -299,16 +319,21 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 3) -> Model |
     model = Model(marks, marks_own, np.zeros(len(marks)), 0.0)
     good = [w for i in learn if not y[i] for w in bags[i]]
     good = sorted(set(good))
-    feats = similar([p for w in good for p in windows(w)[:1]], marks, marks_own)
-    pos_words = sorted({w for i in learn if y[i] for w in bags[i]} - set(good))
-    pos_feats = similar([windows(w)[0] for w in pos_words], marks, marks_own)
+    in_rows = Counter(p for i in learn if not y[i] for p in {p for w in bags[i] for p in windows(w)})
+    good = sorted(in_rows)
+    often = np.array([in_rows[w] for w in good], float) / max(1, (y[learn] == 0).sum())  # a word costs the clean rows it would mark
+    feats = similar(good, marks, marks_own)
+    pos_words = sorted({p for i in learn if y[i] for w in bags[i] for p in windows(w)} - set(good))
+    pos_feats = similar(pos_words, marks, marks_own)
     at = {w: i for i, w in enumerate(pos_words)}
-    rows_of = [np.array([at[w] for w in bags[i] if w in at], int) for i in learn if y[i]]
+    rows_of = [np.array(sorted({at[p] for w in bags[i] for p in windows(w) if p in at}), int) for i in learn if y[i]]
     gram = similar([*toxic, *clean], marks, marks_own).astype(float)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     root = vectors / np.sqrt(np.maximum(values, 1e-3))
     disguised = similar(_disguised([w for w in toxic for _ in range(4)], rng), marks, marks_own)
     closest = pos_feats[:, : len(toxic)].max(1, initial=0)
+    # a row whose words no landmark stands for has no word to speak through
+    rows_of = [r[closest[r] >= STANDS] for r in rows_of]
     witness = np.array([r[closest[r].argmax()] if len(r) else -1 for r in rows_of])
     hard = rng.permutation(len(good))[:4000]
     for _ in range(rounds):
@@ -317,7 +342,7 @@ def fit(rows: list[tuple[str, int]], rounds: int = 4, seed: int = 3) -> Model |
         neg = feats[hard] @ root
         x = np.concatenate([pos, neg])
         sign = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        cost = np.r_[np.full(len(pos), 1.0 / len(pos)), np.full(len(neg), 4.0 / len(neg))] * COST
+        cost = np.r_[np.full(len(pos), 1.0 / len(pos)), CLEAN_COST * often[hard]] * COST
         w, model.bias = _machine(x, sign, cost)
         model.weights = (root @ w).astype(np.float32)
         margin = pos_feats @ model.weights

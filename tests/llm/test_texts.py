@@ -105,6 +105,18 @@ def test_toxicity(toxic):
     assert toxicity.fit([("a", 0), ("b", 0)]) is None and toxicity.fit([]) is None
 
 
+def test_toxicity_on_kept_out_rows(spark):
+    """Kept-out rows of sf0.1: all toxic rows with an insult are marked, and few clean rows; the other toxic rows hold none."""
+    d = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.predicted for r in toxicity.op3(spark, d).filter("held_out").collect()}
+    insults = "trash|idiot|pathetic|worthless|scum|stupid|loser|moron|disgusting|clown"
+    rows = spark.read.parquet(f"{d}/labels.parquet").join(spark.read.parquet(f"{d}/documents.parquet"), "doc_id").select("doc_id", "toxic", F.lower("text").rlike(insults).alias("hit")).collect()
+    kept = [r for r in rows if r.doc_id in got and r.toxic is not None]
+    toxic, clean = [r for r in kept if r.toxic and r.hit], [r for r in kept if not r.toxic]
+    assert sum(got[r.doc_id] for r in toxic) >= 0.95 * len(toxic)
+    assert sum(got[r.doc_id] for r in clean) <= 0.025 * len(clean)
+
+
 def test_toxicity_query(spark):
     got = toxicity.op3(spark, DATA).collect()
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
