@@ -3,7 +3,8 @@
 A text is the mean of the embeddings of its hashed letter 3- and 4-grams; a linear softmax
 on that mean gives language probabilities. Both layers are trained together by stochastic
 gradient descent in numpy. A temperature fitted on rows kept out of the training calibrates
-the probabilities, and the calibration rows' own probabilities set the rejection threshold:
+the probabilities (it is bounded: rows that the model tells apart without a mistake would
+drive it to nothing, and every text would be sure), and the calibration rows' own probabilities set the rejection threshold:
 the REJECT quantile of the right rows, in log odds. Below the lowest of few rows it is taken
 between that row and equal shares, so there is a threshold at any number of rows.
 As the softmax is linear, embedding times weights is one score per hash bucket and class,

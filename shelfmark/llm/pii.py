@@ -4,7 +4,9 @@ Patterns find the base spans of every kind. The field adds what they miss, such
 number written twice in a row or a number without its prefix. Its nodes are the tokens with
 a digit or an ``@``: no other token is part of a base span, so all others are fixed to "no
 entity" and cut the chain. Neighbouring nodes share chain potentials; a node and the last
-earlier node of the same document with the same letters and digits share skip potentials.
+earlier node of the same document with the same letters and digits share skip potentials,
+and it shares weaker ones with the last earlier node that is similar: of at least SIMILAR
+letters and digits, as many in both, the same but for the first or the last two.
 Loopy sum-product message passing gives each node's label probabilities, for all documents
 of a batch at once. The potentials are trained by gradient steps, with the base spans of a
 bounded sample of documents as labels.
@@ -33,6 +35,8 @@ KINDS = ["email", "ip", "card", "phone"]
 MOST_DOCS, MOST_NODES = 20_000, 20_000
 #: Skip potential between equal labels before any repeated token is seen.
 ATTRACTION = 1.0
+#: The same between similar tokens; letters and digits from which tokens may be similar.
+WEAKER, SIMILAR = 0.5, 8
 #: Rounds of message passing; probability from which a node is added.
 ROUNDS, SURE = 12, 0.9
 
@@ -134,18 +138,23 @@ N_FEATURES, N_LABELS = 23, 5
 
 @dataclass
 class Field:
-    """Nodes of many documents: features, chain and skip edges as pairs of node numbers."""
+    """Nodes of many documents: features; chain edges, and skip edges of equal and of similar tokens, as pairs of node numbers."""
 
     x: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    alike: np.ndarray
+
+    @property
+    def edges(self) -> list[np.ndarray]:
+        return [self.chain, self.skip, self.alike]
 
 
 def build(docs: list[list[tuple[str, int]]]) -> Field:
     """The field of documents given as (word, place) of their nodes."""
-    rows, chain, skip, at = [], [], [], 0
+    rows, chain, skip, alike, at = [], [], [], [], 0
     for words in docs:
-        last: dict[str, int] = {}
+        last: dict = {}
         for i, (word, place) in enumerate(words):
             row = np.zeros(N_FEATURES)
             row[features(word)] = 1
@@ -156,9 +165,15 @@ def build(docs: list[list[tuple[str, int]]]) -> Field:
             if key in last:
                 skip.append((last[key], at + i))
             last[key] = at + i
+            if (n := len(key)) >= SIMILAR:
+                ends = (n, key[:-2]), (key[2:], n)
+                for other in {last[e] for e in ends if e in last}:
+                    if not skip or skip[-1] != (other, at + i):
+                        alike.append((other, at + i))
+                last.update(dict.fromkeys(ends, at + i))
         at += len(words)
     pairs = lambda e: np.array(e, int).reshape(-1, 2)
-    return Field(np.array(rows).reshape(-1, N_FEATURES), pairs(chain), pairs(skip))
+    return Field(np.array(rows).reshape(-1, N_FEATURES), pairs(chain), pairs(skip), pairs(alike))
 
 
 @dataclass
@@ -166,11 +181,12 @@ class Model:
     node: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    alike: np.ndarray
 
-    def infer(self, f: Field) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Node probabilities, and pair probabilities of chain and skip edges."""
-        edges = np.concatenate([f.chain, f.skip])
-        pot = np.exp(np.concatenate([np.broadcast_to(self.chain, (len(f.chain), 5, 5)), np.broadcast_to(self.skip, (len(f.skip), 5, 5))]))
+    def infer(self, f: Field) -> tuple[np.ndarray, ...]:
+        """Node probabilities, and pair probabilities of chain edges and of both kinds of skip edges."""
+        edges = np.concatenate(f.edges)
+        pot = np.exp(np.concatenate([np.broadcast_to(w, (len(e), 5, 5)) for w, e in zip((self.chain, self.skip, self.alike), f.edges, strict=True)]))
         own = f.x @ self.node
         own -= own.max(1, keepdims=True, initial=0)
         src, dst = edges[:, 0], edges[:, 1]
@@ -194,7 +210,7 @@ class Model:
         a, b = belief[src] - left, belief[dst] - right
         pair = pot * np.exp(a - a.max(1, keepdims=True, initial=-1e300))[:, :, None] * np.exp(b - b.max(1, keepdims=True, initial=-1e300))[:, None, :]
         pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)
-        return p, pair[: len(f.chain)], pair[len(f.chain) :]
+        return p, *np.split(pair, np.cumsum([len(f.chain), len(f.skip)]))
 
 
 def fit(docs: list[list[tuple[str, int, int]]], steps: int = 250) -> Model | None:
@@ -204,16 +220,16 @@ def fit(docs: list[list[tuple[str, int, int]]], steps: int = 250) -> Model | Non
         return None
     f = build([[(w, p) for w, p, _ in d] for d in docs])
     y = np.array([l for d in docs for *_, l in d])
-    prior = [np.zeros((N_FEATURES, N_LABELS)), np.zeros((5, 5)), ATTRACTION * np.eye(5)]
+    prior = [np.zeros((N_FEATURES, N_LABELS)), np.zeros((5, 5)), ATTRACTION * np.eye(5), WEAKER * np.eye(5)]
     model = Model(*(w.copy() for w in prior))
     gold = np.eye(5)[y]
     pairs = lambda e: np.eye(25)[y[e[:, 0]] * 5 + y[e[:, 1]]].sum(0).reshape(5, 5)
-    want = [f.x.T @ gold, pairs(f.chain), pairs(f.skip)]
+    want = [f.x.T @ gold, *map(pairs, f.edges)]
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in want]
     for t in range(1, steps + 1):
-        p, chain, skip = model.infer(f)
-        have = [f.x.T @ p, chain.sum(0), skip.sum(0)]
-        for k, name in enumerate(("node", "chain", "skip")):
+        p, *each = model.infer(f)
+        have = [f.x.T @ p, *(e.sum(0) for e in each)]
+        for k, name in enumerate(("node", "chain", "skip", "alike")):
             w = getattr(model, name)
             g = (want[k] - have[k]) / len(y) - 1e-4 * (w - prior[k])
             m, v = state[k]
@@ -250,7 +266,7 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model | N
 
     def run(batches):
         for b in batches:
-            rows = [(d, h, w[:200], p, l) for d, h, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for w, p, l in labelled(t or "")]
+            rows = [(d, h, w, p, l) for d, h, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for w, p, l in labelled(t or "")]
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["d", "h", "w", "p", "l"])
 

@@ -174,7 +174,7 @@ def test_field_adds_and_keeps(spark):
 
 def test_messages_on_a_tree_are_exact():
     rng = np.random.default_rng(3)
-    model = pii.Model(rng.normal(size=(pii.N_FEATURES, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
+    model = pii.Model(rng.normal(size=(pii.N_FEATURES, 5)), *(rng.normal(size=(5, 5)) for _ in range(3)))
     f = pii.build([[("12", 0), ("a@b.c", 1), ("12.5", 2)]])
     own, edges = f.x @ model.node, [tuple(e) for e in f.chain]
     joint = np.exp(own[0][:, None, None] + own[1][None, :, None] + own[2][None, None, :] + model.chain[:, :, None] + model.chain[None, :, :])
@@ -183,6 +183,18 @@ def test_messages_on_a_tree_are_exact():
     assert np.allclose(model.infer(f)[0][1], joint.sum((0, 2)), atol=1e-3)
 
 
+def test_similar_tokens_share_a_label():
+    f = pii.build([[("4539578763621486", 0), ("x", 5), ("4539-5787-6362-1499", 9), ("4539578763621486", 12), ("1234567", 20), ("1234599", 30)], [("4539578763621486", 0)]])
+    assert [tuple(e) for e in f.skip] == [(0, 3)] and [tuple(e) for e in f.alike] == [(0, 2), (2, 3)]
+    node = np.zeros((pii.N_FEATURES, 5))
+    sure, unsure = pii.Model(node, np.zeros((5, 5)), np.zeros((5, 5)), 2 * np.eye(5)), pii.Model(node, *[np.zeros((5, 5))] * 3)
+    for m in (sure, unsure):
+        m.node = node.copy()
+        m.node[pii.features("4539578763621486")[-1], 3] = 4.0
+    near = pii.build([[("4539578763621486", 0), ("45395787636214xx", 9)]])
+    assert sure.infer(near)[0][1, 3] > unsure.infer(near)[0][1, 3] + 0.1
+
+
 # ---------------------------------------------------------------- pieces
 
 
