@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the labelled sample (rows a domain) and of the vocabulary (words a domain).
-PER_DOMAIN, VOCABULARY = 500, 60
-#: Gradient steps, and the change of the totals' error at which they end.
-STEPS, ENOUGH = 60, 1e-7
+PER_DOMAIN, VOCABULARY = 500, 2000
+#: Gradient steps at most, the error of a total at which they end, steps in which it must fall by a twentieth.
+STEPS, ENOUGH, PATIENCE = 200, 1e-6, 20
 
 
 def words(text: Column) -> Column:
@@ -115,17 +115,28 @@ def rates(rows: DataFrame, model: Classifier, targets: dict[str, float]) -> Colu
     if not sum(have) or not sum(wanted):
         return F.lit(1.0)
     goal = [sum(have) * w / sum(wanted) for w in wanted]
-    slope, now, last = [0.0] * len(p), have, math.inf
+    slope, now, errors = [0.0] * len(p), have, []
     for _ in range(STEPS):
         gap = [(n - g) / h if h > 0 else 0.0 for n, g, h in zip(now, goal, have, strict=True)]
-        error = max(map(abs, gap))
-        if error < ENOUGH or last - error < 0.001 * error:
+        errors.append(max(map(abs, gap)))
+        if errors[-1] < ENOUGH or len(errors) > PATIENCE and errors[-1] > 0.95 * errors[-1 - PATIENCE]:
             break
-        slope, last = [a + b for a, b in zip(slope, gap, strict=True)], error
+        slope = [a + b for a, b in zip(slope, gap, strict=True)]
         now = totals(rate(slope))
     return rate(slope)
 
 
+def unmet(mixed: DataFrame, domains: list[str], targets: dict[str, float]) -> dict[str, float]:
+    """How far each domain's share of the expected tokens of a result of :func:`mix` is from its target's share.
+
+    Targets can be out of reach, as rates don't fall below zero: then the fit ends at the
+    least squares, and this tells what is left.
+    """
+    sums = [x or 0.0 for x in mixed.agg(*(F.sum(F.col("rate") * F.col("copies") * F.col("n_tokens") * F.element_at("p", i + 1)) for i in range(len(domains)))).first()]
+    want = [targets.get(d, 0.0) for d in domains]
+    return {d: x / (sum(sums) or 1.0) - w / (sum(want) or 1.0) for d, x, w in zip(domains, sums, want, strict=True)}
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang", text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, h, copies, n_tokens, p, rate: one row for each key and text; equal targets by default."""
     model = learn(docs, labelled, domain, text, key)
@@ -140,9 +151,11 @@ def applied(docs: DataFrame, mixed: DataFrame, text: str = "text", key: str = "d
     """Each row of ``docs`` as often as its rate says: the whole part, and the rest by a hash of the id."""
     u = F.pmod(F.xxhash64("key", F.lit("mix")), F.lit(1_000_000)) / 1_000_000.0
     times = (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
-    kept = common.cut(mixed.select(F.col("key").alias("_key"), F.col("h").alias("_h"), times.alias("_times")).filter("_times > 0"), docs.count())
-    rows = docs.withColumn("_x", F.xxhash64(text)).join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_x") == F.col("_h")))
-    return rows.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    # columns of ``docs`` may have any name, so they travel in one
+    kept = common.cut(mixed.select("key", "h", times.alias("times")).filter("times > 0"), docs.count())
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(text).alias("x"), F.col(key).alias("id"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("key")) & (F.col("x") == F.col("h")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -400,17 +400,44 @@ def test_rates_match_targets(spark, docs):
     for r in rows:
         assert r.rate >= 0
         have += np.array(r.p) * r.n_tokens * r.rate * r.copies
-    assert np.allclose(have / have.sum(), [1 / 6, 1 / 6, 3 / 6, 1 / 6][:0] or np.array([1, 1, 3, 1]) / 6, atol=2e-3)
+    assert np.allclose(have / have.sum(), np.array([1, 1, 3, 1]) / 6, atol=2e-3)  # de, en, es, fr
+    left = mixing.unmet(mixing.mix(docs, labels, {"es": 1.0}), ["de", "en", "es", "fr"], {"es": 1.0})
+    assert abs(sum(left.values())) < 1e-9 and abs(left["es"]) < 0.02
     words = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
     assert all(r.n_tokens == words[r.key] for r in rows)
 
 
+def test_posteriors_and_rates_against_plain_python(spark):
+    """Naive Bayes posteriors of a small table, and the least squares that the rates are the limit of."""
+    rng = random.Random(4)
+    words = {"a": ["one", "two", "six"], "b": ["two", "ten", "red"]}
+    made = [(i, " ".join(rng.choice(words["ab"[i % 3 == 0]]) for _ in range(rng.randint(3, 40))), "ab"[i % 3 == 0]) for i in range(120)]
+    rows = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    count = {d: Counter(w for _, t, l in made if l == d for w in t.split()) for d in "ab"}
+    known = set(count["a"]) | set(count["b"])
+    log = {d: {w: math.log((count[d][w] + 0.5) / (sum(count[d].values()) + 0.5 * len(known))) for w in known} for d in "ab"}
+    prior = {d: math.log(sum(l == d for *_, l in made) / len(made)) for d in "ab"}
+    got = {r.key: r for r in mixing.mix(rows, rows, {"a": 1.0, "b": 1.0}).collect()}
+    p, n = np.zeros((len(made), 2)), np.zeros(len(made))
+    for i, t, _ in made:
+        z = np.array([prior[d] + sum(log[d][w] for w in t.split()) for d in "ab"])
+        p[i], n[i] = np.exp(z - z.max()) / np.exp(z - z.max()).sum(), len(t.split())
+        assert np.allclose(got[i].p, p[i], atol=1e-6)
+    weights = (p * n[:, None]).T  # domain x document
+    goal = np.full(2, n.sum() / 2)
+    rate = np.array([got[i].rate for i in range(len(made))])
+    assert np.allclose(weights @ rate, goal, rtol=1e-3) and (rate >= 0).all()
+
+
 def test_mixing_edges(spark, docs):
     labels = spark.range(200).withColumnRenamed("id", "doc_id")
     odd = docs.limit(60).unionByName(spark.createDataFrame([(900, None, "en", "s", 0), (901, "", None, "s", 0), (902, "qq", "en", "s", 2), (902, "qq", "en", "s", 2)], DOCS))
     rows = mixing.mix(odd, labels)
     got = {r.key: r for r in rows.collect()}
     assert got[900].n_tokens == 0 and got[902].copies == 2 and all(abs(sum(r.p) - 1) < 1e-9 for r in got.values())
+    clash = odd.withColumns({c: F.lit(c) for c in ("_x", "key", "h", "times", "row", "id", "x")})
+    made = mixing.applied(clash, rows)
+    assert made.columns == clash.columns and {r.times for r in made.collect()} == {"times"}
     made = mixing.applied(odd, rows)
     assert made.columns == odd.columns and {r.doc_id for r in made.collect()} <= set(got)
     assert {r.rate for r in mixing.mix(odd, labels.limit(0)).collect()} == {1.0}
