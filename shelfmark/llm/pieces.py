@@ -40,7 +40,7 @@ from . import common
 #: Path of the piece model; segmentations of a text; atoms a worker remembers.
 MODEL, N_BEST, REMEMBERED = "/opt/tokenizers/piece_bpe_32k.model", 3, 1_000_000
 #: Atoms that are searched together.
-ATOMS = 40_000
+ATOMS = 15_000
 #: The model's mark for a space. In a text it is a character like others, and no piece.
 MARK = "▁"
 
@@ -344,7 +344,7 @@ def encode(texts: list[str | None], pieces: Pieces, n: int = N_BEST, remembered:
 
 def _encode(texts: list[str | None], pieces: Pieces, n: int, m: Memory, remembered: int) -> list[pa.Array]:
     sizes, scores, best, good, parts = [], [], [], [], []
-    for _, part in common.blocks(texts, 3_000_000):
+    for _, part in common.blocks(texts, 1_500_000):
         cut = [pieces.atoms(t) if t else [] for t in part]
         new = list(dict.fromkeys(u for us in cut for u in us if u not in m.place))
         if len(m.place) + len(new) > remembered and m.place:

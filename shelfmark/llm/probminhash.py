@@ -154,6 +154,7 @@ def signed(docs: DataFrame, text: str, key: str) -> DataFrame:
             rows = np.concatenate([found[texts[i]] for i in keep]) if keep else np.zeros(0, np.int64)
             offsets = pa.array(np.arange(len(keep) + 1) * (REGISTERS // BAND), pa.int32())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(rows))], names=["id", "h", "bands"])
+        common.tidy()
 
     return docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("t")).mapInArrow(run, schema)
 
@@ -179,6 +180,7 @@ def bags(docs: DataFrame, reps: DataFrame, text: str, key: str) -> DataFrame:
                 counted = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(plain, 0, sizes))].astype(np.int32)), pa.array(count[keep].astype(np.int32)), mask=pa.array(plain))
                 made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(small)), counted]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[start : start + len(part)], b.schema.field(0).type), *made], names=["rep", "s", "n"])
+        common.tidy()
 
     rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("t")).filter("t is not null").join(reps, "rep", "left_semi")
     return rows.mapInArrow(run, f"rep {kind}, s array<int>, n array<int>").dropDuplicates(["rep"])
