@@ -12,10 +12,12 @@ customers of other spelling contexts sit in the longest context that has one.
 
 Seating is sampled from the state with one table for each pair of context and word: sweeps
 lift all customers of a dish and seat them again, one by one up to BLOCK customers and then
-in runs of a BLOCK-th of those seated, first the words and their spelling in turns, then
-the contexts given each sample of their parent. A token's probability is made of means over
-the sampled seatings: its own share in its context, the context's weight of the parent, and
-the word's predictive probability there.
+in runs of a BLOCK-th of those seated. A round seats the spelling under the words' tables,
+the contexts under the words' predictive probabilities, and the words, whose customers are
+the tables the contexts have now. A pair with one customer always has one table, so only
+the others travel between rounds. A token's probability is made of means over the sampled
+rounds: its own share in its context, the context's weight of the parent, and the word's
+predictive probability there.
 
 Words travel as 64-bit hashes, and as 40 bits of these inside a context (32 to look one up). Tokens are summed by
 chunks of about CHUNK characters before they are sent: a chunk sends its distinct words and
@@ -31,7 +33,7 @@ and words are scored whole, in logarithms; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +46,7 @@ from .probminhash import mix
 
 #: Characters of a chunk, and of the training texts that fill a bucket.
 CHUNK, BUCKET = 8_000_000, 2_000_000
-#: Sweeps before and after which predictions are kept; sweeps of the contexts for each of these; strength.
+#: Rounds before predictions are kept and rounds that are kept; sweeps of the contexts in a round; strength.
 BURN_IN, SAMPLES, CONTEXT_SWEEPS, STRENGTH = 1, 2, 2, 1.0
 #: Customers seated one by one; sweeps of the spelling restaurants; symbols (bytes and end).
 BLOCK, SPELLING_SWEEPS, SYMBOLS = 32, 10, 257
@@ -68,7 +70,7 @@ SHORT = U(24)
 #: Rows by which chunks and buckets talk: what they are, to whom, from whom, sums over them, and arrays by kind as bytes.
 MESSAGE = "kind int, dest long, src long, p long, q long, r long, s long, a binary, i binary, f binary, w binary"
 _NAMES = [c.split()[0] for c in MESSAGE.split(", ")]
-COUNTED, PAIRS, VOCABULARY, FOLLOWED, ONCE, HOT, PARENT, WORDS, SEATED, ASKED, TEXTS, TOLD = range(12)
+COUNTED, PAIRS, MANY, VOCABULARY, FOLLOWED, ONCE, HOT, PARENT, WORDS, SEATED, ASKED, TEXTS, TOLD = range(13)
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -259,6 +261,70 @@ def received(table: pa.Table | pa.RecordBatch) -> list[Got]:
     return sorted(out, key=lambda g: (g.kind, g.src))
 
 
+@dataclass
+class Vocabulary:
+    """A bucket's words, their customers and tables in the word restaurant, and who has them as followers.
+
+    key; count; customers that never change (from pairs with one customer); customers; tables;
+    log probability in each sample; that of the spelling; bytes; and for each bucket of
+    contexts the places of the words that it seats.
+    """
+
+    dest: int
+    key: np.ndarray
+    c: np.ndarray
+    once: np.ndarray
+    n: np.ndarray
+    t: np.ndarray
+    lp: np.ndarray
+    spelled: np.ndarray
+    size: np.ndarray
+    data: bytes
+    asked: dict[int, np.ndarray]
+
+    @classmethod
+    def of(cls, g: Got) -> Vocabulary:
+        key, c, once, n, t = g.a.reshape(5, -1)
+        *lp, spelled = g.f.reshape(SAMPLES + 1, -1)
+        size, rest = g.i[: len(key)], g.i[len(key) :]
+        srcs, sizes, places = rest[1 : 1 + rest[0]], rest[1 + rest[0] : 1 + 2 * rest[0]], rest[1 + 2 * rest[0] :]
+        asked = dict(zip(srcs.tolist(), np.split(places, np.cumsum(sizes)[:-1]), strict=True)) if len(srcs) else {}
+        return cls(g.dest, key.view(U), c, once, n, t, np.array(lp), spelled, size, g.w, asked)
+
+    def message(self) -> tuple:
+        sums = (self.n.sum(), len(self.n), (self.n == 1).sum(), (self.n == 2).sum())
+        i = np.concatenate([self.size, [len(self.asked)], [*self.asked], [*map(len, self.asked.values())], *self.asked.values()], dtype=np.int64, casting="unsafe")
+        a, f = np.concatenate([self.key.view(np.int64), self.c, self.once, self.n, self.t]), np.concatenate([self.lp.ravel(), self.spelled])
+        return message(VOCABULARY, self.dest, int(self.t.sum()), a, i, f, self.data, sums)
+
+
+@dataclass
+class Many:
+    """A bucket's pairs of more than one customer, by context.
+
+    How many each context has; its pairs with one customer; which contexts are spread, and
+    their keys; the words' keys; customers; tables; tables summed over the samples.
+    """
+
+    size: np.ndarray
+    ones: np.ndarray
+    at: np.ndarray
+    hot: np.ndarray
+    w: np.ndarray
+    c: np.ndarray
+    t: np.ndarray
+    taken: np.ndarray
+
+    @classmethod
+    def of(cls, g: Got) -> Many:
+        x = parted(g.w, *_SMALL, *_SMALL, np.int32, U, np.uint32, np.uint8, *_SMALL, *_SMALL, *_SMALL)
+        return cls(whole(*x[:3]), whole(*x[3:6]), x[6], x[7], (x[8].astype(U) << U(8)) | x[9], whole(*x[10:13]), whole(*x[13:16]), whole(*x[16:]))
+
+    def message(self, dest: int) -> tuple:
+        high, low = (self.w >> U(8)).astype(np.uint32), (self.w & U(255)).astype(np.uint8)
+        return message(MANY, dest, w=joined([*small(self.size), *small(self.ones), self.at.astype(np.int32), self.hot, high, low, *small(self.c), *small(self.t), *small(self.taken)]))
+
+
 def seat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each dish after seating its customers; ``pull`` is the weight of a new table."""
     tables = np.minimum(customers, 1).astype(np.int64)
@@ -451,18 +517,13 @@ def train(docs: DataFrame, where: Column, text: str = "text", seed: int = 11) ->
 
     state = common.table(_by_bucket(rows.mapInArrow(count, MESSAGE), buckets).groupBy("dest").applyInArrow(_summed(buckets, hot), MESSAGE), by="kind")
     total, distinct = _sums(state, VOCABULARY)[:2]
-    followed = state.filter(F.col("kind") == FOLLOWED)
-    words = common.table(_by_bucket(state.filter(F.col("kind").isin(VOCABULARY, FOLLOWED)), buckets).groupBy("dest").applyInArrow(_customers, MESSAGE), by="kind")
-    samples, words = _seat_words(words, seed)
-    told = common.table(_by_bucket(words.unionByName(followed), buckets).groupBy("dest").applyInArrow(_parents, MESSAGE), by="kind")
-    common.remove(words)
     discount, hot_count, spread = discount_of(*_sums(state, ONCE)[:2]), _hot_totals(state, hot, "p"), _hot_totals(state, hot, "q")
-    seated = _by_bucket(state.filter(F.col("kind") == PAIRS).unionByName(told.filter(F.col("kind") == PARENT)), buckets)
-    seated = common.table(seated.groupBy("dest").applyInArrow(_seated(buckets, hot, hot_count, spread, discount, seed), MESSAGE), by="kind")
+    samples, words, many, tables = _rounds(state, buckets, hot, spread, discount, seed)
+    seated = _by_bucket(state.filter(F.col("kind") == PAIRS).unionByName(many.filter(F.col("kind") == MANY)), buckets)
+    seated = common.table(seated.groupBy("dest").applyInArrow(_shares(hot, hot_count, discount), MESSAGE), by="kind")
     common.remove(state)
-    common.remove(told, f"kind={PARENT}")
-    held = told.filter(F.col("kind") == WORDS).unionByName(seated.filter(F.col("kind") == SEATED))
-    tables = _hot_totals(seated, hot, "p") / SAMPLES
+    common.remove(many)
+    held = words.filter(F.col("kind") == WORDS).unionByName(seated)
     return Model(held, samples, total, distinct, buckets, hot, (STRENGTH + discount * tables) / (STRENGTH + hot_count))
 
 
@@ -489,7 +550,7 @@ def _sums(rows: DataFrame, kind: int) -> list[int]:
 
 
 def _summed(buckets: int, hot: np.ndarray):
-    """A bucket's words and pairs from all chunks, summed; for each bucket of words how many contexts each follows."""
+    """A bucket's words and pairs from all chunks, summed; for each bucket of words how many contexts each follows, once and more often."""
 
     def vocabulary(dest: int, key, n, size, data) -> tuple:
         key, n, size, data = (np.concatenate(x) for x in (key, n, size, data))
@@ -498,8 +559,8 @@ def _summed(buckets: int, hot: np.ndarray):
         c = np.bincount(of, n, len(key)).astype(np.int64)
         size, start = size[at], start[at]
         data = data[np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)].tobytes()
-        made = np.concatenate([key.view(np.int64), c, np.zeros_like(c), np.ones_like(c)])
-        return message(VOCABULARY, dest, 0, made, size, np.full(SAMPLES * len(c), -np.inf), data, (c.sum(), len(c)))
+        made = Vocabulary(dest, key, c, np.zeros_like(c), c, np.ones_like(c), np.full((SAMPLES, len(c)), -np.inf), np.zeros(len(c)), size, data, {})
+        return made.message()
 
     def pairs(dest: int, u, w, c):
         u, w, c = np.concatenate(u), np.concatenate(w), np.concatenate(c)
@@ -510,12 +571,19 @@ def _summed(buckets: int, hot: np.ndarray):
         head = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
         size = np.diff(np.r_[head, len(u)])
         yield message(PAIRS, dest, 0, np.concatenate([u[head], w, c.astype(U)]).view(np.int64), size)
-        word, _, _, n = common.distinct(w)
+        here, often = np.isin(u[head], hot), c > 1
+        n = np.add.reduceat(often.astype(np.int64), head)
+        some = np.flatnonzero(n)
+        spread = np.flatnonzero(here[some])
+        c_ = c[often].astype(np.int64)
+        yield Many(n[some], (size - n)[some], spread, u[head][some][spread], w[often], c_, np.ones_like(c_), np.zeros_like(c_)).message(dest)
+        word, _, of, n = common.distinct(w)
+        more = np.bincount(of, often, len(word)).astype(np.int64)
         edges = np.searchsorted(bucket_of(word << SHORT, buckets), np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            yield message(FOLLOWED, b, dest, word[edges[b] : edges[b + 1]].view(np.int64), n[edges[b] : edges[b + 1]])
+            part = slice(edges[b], edges[b + 1])
+            yield message(FOLLOWED, b, dest, word[part].view(np.int64), np.concatenate([n[part] - more[part], more[part]]))
         yield message(ONCE, dest, sums=((c == 1).sum(), (c == 2).sum()))
-        here = np.isin(u[head], hot)
         for key, n, m in zip(u[head][here].view(np.int64).tolist(), np.add.reduceat(c, head)[here].tolist(), size[here].tolist(), strict=True):
             yield message(HOT, key, sums=(n, m))
 
@@ -542,40 +610,69 @@ def _hot_totals(rows: DataFrame, hot: np.ndarray, column: str) -> np.ndarray:
     return out
 
 
-def _vocabulary(dest: int, key, c, n, t, size, lp, data: bytes) -> tuple:
-    sums = (n.sum(), len(n), (n == 1).sum(), (n == 2).sum())
-    return message(VOCABULARY, dest, int(t.sum()), np.concatenate([key, c, n, t]), size, lp.astype(np.float64).ravel(), data, sums)
+def _customers(table: pa.Table) -> pa.Table:
+    """Words with their first customers: a table in each context that they follow."""
+    own, *followed = received(table)
+    v = Vocabulary.of(own)
+    once, n, short, asked = np.zeros_like(v.n), np.zeros_like(v.n), v.key >> SHORT, {}
+    for g in followed:
+        ones, more = g.i.reshape(2, -1)
+        at = np.searchsorted(short, g.a.view(U))
+        once[at] += ones
+        n[at] += more
+        if (more > 0).any():
+            asked[g.src] = at[more > 0]
+    once = np.where(once + n, once, 1)
+    return sent([replace(v, once=once, n=once + n, asked=asked).message()])
 
 
-def _columns(g: Got) -> tuple:
-    """key, c, n, t and log probabilities of a row of words."""
-    return *g.a.reshape(4, -1), g.f.reshape(SAMPLES, -1)
+def _customers_now(discount: float, pull: float, seed: list[int]):
+    """Words with the customers that the contexts' tables are now, and these seated."""
 
+    def run(table: pa.Table) -> pa.Table:
+        own, *followed = received(table)
+        v = Vocabulary.of(own)
+        n = v.once.copy()
+        for g in followed:
+            n[v.asked[g.src]] += g.i
+        t = seat(n, pull * np.exp(v.spelled), discount, np.random.default_rng([*seed, own.dest]))
+        return sent([replace(v, n=n, t=t).message()])
 
-def _customers(table: pa.Table) -> pa.Table:
-    """Words with their customers: a table in each context that they follow."""
-    own, *followed = received(table)
-    key, c, n, t, lp = _columns(own)
-    n, short = n.copy(), key.view(U) >> SHORT
-    for g in followed:
-        n[np.searchsorted(short, g.a.view(U))] += g.i
-    return sent([_vocabulary(own.dest, key, c, np.maximum(n, 1), t, own.i, lp, own.w)])
+    return run
 
 
-def _seat_words(words: DataFrame, seed: int) -> tuple[list[Sample], DataFrame]:
-    """Sampled seatings of the words and their spelling; the words with their log probability under each."""
-    total, _, ones, twos = _sums(words, VOCABULARY)
-    discount, contexts, samples = discount_of(ones, twos), _contexts(words), []
-    for sweep in range(BURN_IN + SAMPLES):
-        tables = words.agg(F.coalesce(F.sum("src"), F.lit(0))).first()[0]
+def _rounds(state: DataFrame, buckets: int, hot: np.ndarray, spread: np.ndarray, context_discount: float, seed: int) -> tuple[list[Sample], DataFrame, DataFrame, np.ndarray]:
+    """Rounds of spelling, contexts and words: the samples, the words, the pairs with their tables, mean tables of hot contexts."""
+    dealt = lambda a, b: _by_bucket(a.unionByName(b), buckets).groupBy("dest")
+    kind = lambda rows, k: rows.filter(F.col("kind") == k)
+    words = common.table(dealt(kind(state, VOCABULARY), kind(state, FOLLOWED)).applyInArrow(_customers, MESSAGE), by="kind")
+    for k in (VOCABULARY, FOLLOWED):
+        common.remove(state, f"kind={k}")
+    many, totals, mean, samples = state, spread, np.zeros(len(hot)), []
+    discount, contexts = discount_of(*_sums(words, VOCABULARY)[2:]), _contexts(words)
+    for step in range(BURN_IN + SAMPLES):
+        sample, last = step - BURN_IN, step == BURN_IN + SAMPLES - 1
+        total, tables = _sums(words, VOCABULARY)[0], words.agg(F.coalesce(F.sum("src"), F.lit(0))).first()[0]
+        pull = STRENGTH + discount * tables
         # at most SYMBOLS rows for each restaurant
         found = words.mapInArrow(_spelled(contexts), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-        now = Sample(spelling(contexts, found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64), seed + sweep), math.log((STRENGTH + discount * tables) / (STRENGTH + total)))
-        if sweep >= BURN_IN:
+        now = Sample(spelling(contexts, found["k"].to_numpy(np.int64), found["n"].to_numpy(np.int64), seed + step), math.log(pull / (STRENGTH + total)))
+        if sample >= 0:
             samples.append(now)
-        last, words = words, common.table(words.mapInArrow(_sweep(now, discount, total, STRENGTH + discount * tables, sweep - BURN_IN, seed + sweep), MESSAGE), by="kind")
-        common.remove(last)
-    return samples, words
+        old, words = words, common.table(words.mapInArrow(_parents(now, discount, total, sample, last), MESSAGE), by="kind")
+        common.remove(old)
+        made = dealt(kind(many, MANY), kind(words, PARENT)).applyInArrow(_seated(buckets, hot, totals, context_discount, sample, [seed, step, 0]), MESSAGE)
+        old, many = many, common.table(made, by="kind")
+        common.remove(old, f"kind={MANY}")
+        common.remove(words, f"kind={PARENT}")
+        totals = spread + _hot_totals(many, hot, "p")
+        if sample >= 0:
+            mean += totals / SAMPLES
+        if not last:
+            old, words = words, common.table(dealt(kind(words, VOCABULARY), kind(many, FOLLOWED)).applyInArrow(_customers_now(discount, pull, [seed, step, 1]), MESSAGE), by="kind")
+            common.remove(old)
+            common.remove(many, f"kind={FOLLOWED}")
+    return samples, words, many, mean
 
 
 def _contexts(words: DataFrame) -> Contexts:
@@ -584,7 +681,8 @@ def _contexts(words: DataFrame) -> Contexts:
     def run(batches):
         for b in batches:
             for g in received(b):
-                key, n = visited(cut_up(g.w, g.i), np.ones(len(g.i), np.int64))
+                v = Vocabulary.of(g)
+                key, n = visited(cut_up(v.data, v.size), np.ones(len(v.size), np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["k", "n"])
 
     customers = words.agg(F.coalesce(F.sum(F.length("w") + F.col("q")), F.lit(0))).first()[0]
@@ -599,80 +697,88 @@ def _spelled(contexts: Contexts):
     def run(batches):
         for b in batches:
             for g in received(b):
-                row, s, sizes = contexts.locate(cut_up(g.w, g.i))
+                v = Vocabulary.of(g)
+                row, s, sizes = contexts.locate(cut_up(v.data, v.size))
                 uniq, _, of, _ = common.distinct(row * SYMBOLS + s)
-                n = np.bincount(of, np.repeat(_columns(g)[3], sizes)).astype(np.int64)
+                n = np.bincount(of, np.repeat(v.t, sizes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(uniq), pa.array(n)], names=["k", "n"])
 
     return run
 
 
-def _sweep(now: Sample, discount: float, total: int, pull: float, sample: int, seed: int):
-    """Sets the words' log probability under ``now`` if it is a sample, then seats their customers anew."""
+def _parents(now: Sample, discount: float, total: int, sample: int, last: bool):
+    """To each bucket of contexts the log probabilities of the words it seats; the words with these, in the end as the chunks ask for them."""
 
     def run(batches):
         for b in batches:
             for g in received(b):
-                key, c, n, t, lp = _columns(g)
-                spelled = now.spelling.score(cut_up(g.w, g.i))
+                v = Vocabulary.of(g)
+                spelled = now.spelling.score(cut_up(v.data, v.size))
+                own = np.log(np.maximum(v.n - discount * v.t, 1e-300) / (STRENGTH + total))
+                p = np.logaddexp(own, now.fallback + spelled)
                 if sample >= 0:
-                    own = np.log(np.maximum(n - discount * t, 1e-300) / (STRENGTH + total))
-                    lp = lp.copy()
-                    lp[sample] = np.logaddexp(own, now.fallback + spelled)
-                t = seat(n, pull * np.exp(spelled), discount, np.random.default_rng([seed, g.dest]))
-                yield batch([_vocabulary(g.dest, key, c, n, t, g.i, lp, g.w)])
+                    v.lp[sample] = p
+                if last:
+                    made = message(WORDS, v.dest, 0, np.concatenate([v.key.view(np.int64), v.c]), f=np.logaddexp.reduce(v.lp, axis=0) - math.log(SAMPLES))
+                else:
+                    made = replace(v, spelled=spelled).message()
+                yield batch([made, *(message(PARENT, src, v.dest, f=p[at]) for src, at in v.asked.items())])
 
     return run
 
 
-def _parents(table: pa.Table) -> pa.Table:
-    """To each bucket of contexts the log probabilities of the words it asked for; the bucket's words for the chunks."""
-    own, *followed = received(table)
-    key, c, _, _, lp = _columns(own)
-    short = key.view(U) >> SHORT
-    out = [message(PARENT, g.src, own.dest, f=lp[:, np.searchsorted(short, g.a.view(U))].ravel()) for g in followed]
-    return sent([*out, message(WORDS, own.dest, 0, np.concatenate([key, c]), f=np.logaddexp.reduce(lp, axis=0) - math.log(SAMPLES))])
-
-
-def _seated(buckets: int, hot: np.ndarray, hot_count: np.ndarray, spread: np.ndarray, discount: float, seed: int):
-    """Seats a bucket's contexts under each sample of their parent.
+def _seated(buckets: int, hot: np.ndarray, totals: np.ndarray, discount: float, sample: int, seed: list[int]):
+    """Seats a bucket's contexts under their parent; to each bucket of words the tables that its words have here.
 
-    A context that is spread over buckets has the count of all its customers, and for the
-    chance of a new table the tables of the first state; its weight of the parent is left
-    out, as it takes the tables of all buckets.
+    A context that is spread over buckets has, in other buckets, the tables of the round before.
     """
 
     def run(table: pa.Table) -> pa.Table:
         mine, *parents = received(table)
-        dest, size = mine.dest, mine.i
-        k, n = len(size), int(size.sum())
-        u, w, c = mine.a[:k].view(U), mine.a[k : k + n].view(U), mine.a[k + n :]
-        word, _, of, _ = common.distinct(w)
+        dest, m = mine.dest, Many.of(mine)
+        word, _, of, _ = common.distinct(m.w)
         edges = np.searchsorted(bucket_of(word << SHORT, buckets), np.arange(buckets + 1))
-        p = np.zeros((SAMPLES, len(word)))
+        p = np.zeros(len(word))
         for g in parents:
-            p[:, edges[g.src] : edges[g.src + 1]] = np.exp(g.f.reshape(SAMPLES, -1))
-        row, start = np.repeat(np.arange(k), size), np.cumsum(size) - size
-        place = np.minimum(np.searchsorted(hot, u), max(0, len(hot) - 1))
-        is_hot = hot[place] == u if len(hot) else np.zeros(k, bool)
-        customers = np.add.reduceat(c, start).astype(float)
-        held = size.astype(float)
-        if len(hot):
-            customers, held = np.where(is_hot, hot_count[place], customers), np.where(is_hot, spread[place], held)
-        rng = np.random.default_rng([seed, dest])
-        own, back, out = np.zeros(n), np.zeros(k), []
-        again = np.flatnonzero(c > 1)  # one customer has one table
-        tables, now = np.ones(n, np.int64), held
-        for s in range(SAMPLES):
-            for _ in range(CONTEXT_SWEEPS):
-                tables[again] = seat(c[again], (STRENGTH + discount * now[row[again]]) * p[s, of[again]], discount, rng)
-                here = np.add.reduceat(tables, start).astype(float)
-                now = np.where(is_hot, held, here)
-            own += (c - discount * tables) / (STRENGTH + customers[row]) / SAMPLES
-            back += np.where(is_hot, np.nan, (STRENGTH + discount * here) / (STRENGTH + customers)) / SAMPLES
-            out += [message(HOT, x, s, sums=(t,)) for x, t in zip(u[is_hot].view(np.int64).tolist(), here[is_hot].tolist(), strict=True)]
+            p[edges[g.src] : edges[g.src + 1]] = np.exp(g.f)
+        k = len(m.size)
+        row, besides, t = np.repeat(np.arange(k), m.size), m.ones.astype(float), m.t
+        here = np.bincount(row, t, k)
+        besides[m.at] = totals[np.searchsorted(hot, m.hot)] - here[m.at]
+        rng = np.random.default_rng([*seed, dest])
+        for _ in range(CONTEXT_SWEEPS):
+            t = seat(m.c, (STRENGTH + discount * (besides + here)[row]) * p[of], discount, rng)
+            here = np.bincount(row, t, k)
+        out = [replace(m, t=t, taken=m.taken + t if sample >= 0 else m.taken).message(dest)]
+        if sample < SAMPLES - 1:
+            tables = np.bincount(of, t, len(word)).astype(np.int64)
+            out += [message(FOLLOWED, b, dest, i=tables[edges[b] : edges[b + 1]]) for b in np.flatnonzero(np.diff(edges)).tolist()]
+        out += [message(HOT, x, dest, sums=(n,)) for x, n in zip(m.hot.view(np.int64).tolist(), (here - m.size)[m.at].tolist(), strict=True)]
+        return sent(out)
+
+    return run
+
+
+def _shares(hot: np.ndarray, hot_count: np.ndarray, discount: float):
+    """Each pair's own share and each context's weight of the parent, by the mean tables of the samples.
+
+    A context that is spread over buckets has the count of all its customers; its weight of
+    the parent is left out, as it takes the tables of all buckets.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs, many = received(table)
+        size, k, n = pairs.i, len(pairs.i), int(pairs.i.sum())
+        u, w, c = pairs.a[:k].view(U), pairs.a[k : k + n].view(U), pairs.a[k + n :]
+        tables, start = np.ones(n), np.cumsum(size) - size
+        tables[c > 1] = Many.of(many).taken / SAMPLES
+        customers, back_tables = np.add.reduceat(c, start).astype(float), np.add.reduceat(tables, start)
+        is_hot = np.isin(u, hot)
+        customers[is_hot] = hot_count[np.searchsorted(hot, u[is_hot])]
+        own = (c - discount * tables) / (STRENGTH + np.repeat(customers, size))
+        back = np.where(is_hot, np.nan, (STRENGTH + discount * back_tables) / (STRENGTH + customers))
         small = (w >> U(8)).astype(np.uint32).view(np.int32)
-        return sent([*out, message(SEATED, dest, 0, u.view(np.int64), np.concatenate([size, small]), np.concatenate([own, back]).astype(np.float32))])
+        return sent([message(SEATED, pairs.dest, 0, u.view(np.int64), np.concatenate([size, small]), np.concatenate([own, back]).astype(np.float32))])
 
     return run
 

@@ -390,6 +390,56 @@ def test_the_model_prefers_order_and_beats_the_base(spark):
     assert scores[90] > scores[91] + 3
 
 
+def test_tables_of_contexts_are_the_words_customers(spark):
+    """Words of one context each: those that come often there have more tables in it, and so a higher probability in the parent."""
+    often, rare = ([f"{a}{b}{c}" for b in "xyz" for c in "klmn"] for a in "qw")
+    texts = [" ".join(f"go {w}" for w in often)] * 300 + [" ".join(f"go {w}" for w in rare)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = lm.train(rows, F.lit(True))
+    key = lambda w: int(lm.keys(np.frombuffer(w.encode() + b"\n" * 16, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    found = next(r for r in lm.received(model.held.toArrow()) if r.kind == lm.WORDS)
+    logs = dict(zip(found.a[: len(found.f)].view(np.uint64).tolist(), found.f.tolist(), strict=True))
+    assert np.mean([logs[key(w)] for w in often]) > np.mean([logs[key(w)] for w in rare]) + 0.5
+
+
+@pytest.mark.parametrize("size", [10**9, 4000])
+def test_every_round_passes_the_tables_on(spark, monkeypatch, size):
+    """In each round a word has as many customers as it has tables in all contexts, with one bucket and with many and hot contexts."""
+    monkeypatch.setattr(lm, "BUCKET", size)
+    monkeypatch.setattr(lm, "CHUNK", size)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["the", f"w{int(rng.expovariate(0.1))}"]) for _ in range(60)) for _ in range(200)]
+    rounds, table = [], lm.common.table
+
+    def watched(*args, **named):
+        made = table(*args, **named)
+        if "kind" in made.columns:
+            rounds.append(lm.received(made.filter(F.col("kind").isin(lm.PAIRS, lm.MANY, lm.VOCABULARY, lm.FOLLOWED)).toArrow()))
+        return made
+
+    monkeypatch.setattr(lm.common, "table", watched)
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), F.lit(True))
+    assert len(model.hot) if size == 4000 else not len(model.hot)
+    once, seated, seen = Counter(), None, []
+    for g in rounds[0]:
+        if g.kind == lm.PAIRS:
+            k, n = len(g.i), int(g.i.sum())
+            once.update(w for w, c in zip(g.a[k : k + n].tolist(), g.a[k + n :].tolist(), strict=True) if c == 1)
+    for rows in rounds:
+        if words := [lm.Vocabulary.of(g) for g in rows if g.kind == lm.VOCABULARY]:
+            if seated is not None:
+                customers = Counter({int(k) >> 24: n for v in words for k, n in zip(v.key.tolist(), v.n.tolist(), strict=True)})
+                assert customers == once + seated and all((v.t <= v.n).all() and (v.t > 0).all() for v in words)
+                seen.append(customers.total())
+        if pairs := [lm.Many.of(g) for g in rows if g.kind == lm.MANY]:
+            assert all((m.t <= m.c).all() and (m.t > 0).all() and (m.c > 1).all() for m in pairs)
+            seated = Counter()
+            for m in pairs:
+                for w, t in zip(m.w.tolist(), m.t.tolist(), strict=True):
+                    seated[w] += t
+    assert len(set(seen)) >= lm.BURN_IN + lm.SAMPLES  # the first state and what the rounds made of it
+
+
 # ---------------------------------------------------------------- mixing
 
 
